@@ -13,6 +13,7 @@ from ._util import read
 PLAIN = {
     "op3_quality_rules": ("rules", "quality_rules", "documents"),
     "op2_best_fit_packing": ("packing", "best_fit", "documents"),
+    "op4_jaccard_join": ("jaccard", "jaccard_join", "documents"),
     "op5_near_vectors": ("vectors", "near_vectors", "embeddings"),
     "op7_secret_scan": ("secrets", "secret_scan", "documents"),
     "op8_url_filter": ("links", "url_filter", "pages"),
