@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -54,6 +55,15 @@ def drop_scratch(df: DataFrame) -> None:
             return
 
 
+#: A table of up to so many rows of a few numbers each goes to every executor; a larger one is joined by shuffling.
+SIDE_ROWS = 500_000
+
+
+def side(df: DataFrame) -> DataFrame:
+    """The given table, which must be a written one of short rows, broadcast if it is small, else with a hint not to sort the other side."""
+    return F.broadcast(df) if df.count() <= SIDE_ROWS else df.hint("shuffle_hash")
+
+
 def slices(batches: Iterator, text: str = "text", chars: int = 2_000_000) -> Iterator:
     """Cuts Arrow batches into runs of rows of about so many characters, so that Python objects of one run fit beside the JVM; a text itself is never cut."""
     import pyarrow.compute as pc

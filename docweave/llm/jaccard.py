@@ -31,13 +31,13 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ._packed import SPACE, bits_for, grams, hashed_words, lists, pack, parts, planes, runs, unpack, unplanes
-from ._util import scratch
+from ._util import scratch, side
 from .components import components
 
 GRAM = 3
@@ -82,8 +82,8 @@ _BLOB = [T.StructField(k, T.BinaryType()) for k in ("g", "rec", "sigs", "sizes",
 
 
 def postings(docs: DataFrame, bits: int, n: int = GRAM) -> DataFrame:
-    """Two kinds of rows: (doc_id, sig, size) of every document with grams, at a negative bucket, and blobs of postings by bucket."""
-    schema = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("sig", T.BinaryType()), T.StructField("size", T.LongType()), *_BLOB])
+    """Two kinds of rows: (doc_id, th: hash of the text, sig, size) of every document with grams, at a negative bucket, and blobs of postings by bucket."""
+    schema = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("th", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("size", T.LongType()), *_BLOB])
     names, kinds = schema.names, to_arrow_schema(schema)
 
     def flush(sets: list[np.ndarray], sigs: list[bytes]) -> pa.RecordBatch:
@@ -103,7 +103,7 @@ def postings(docs: DataFrame, bits: int, n: int = GRAM) -> DataFrame:
         held = 0
         part = TaskContext.get().partitionId()
         for b in batches:
-            flat, bounds = lists(b.column(1))
+            flat, bounds = lists(b.column(2))
             words = flat.view(np.uint64)
             for lo, hi in runs(bounds, CHUNK):
                 base = bounds[lo]
@@ -122,14 +122,14 @@ def postings(docs: DataFrame, bits: int, n: int = GRAM) -> DataFrame:
                         sets.append(g), sigs.append(sig)
                         held += len(g)
                 none = pa.nulls(len(at), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([-1 - part] * len(at), pa.int64()), b.column(0).take(pa.array(at, pa.int64())), pa.array(doc_sigs, pa.binary()), pa.array(doc_sizes, pa.int64()), *[none] * 5], schema=kinds)
+                yield pa.RecordBatch.from_arrays([pa.array([-1 - part] * len(at), pa.int64()), b.column(0).take(pa.array(at, pa.int64())), b.column(1).take(pa.array(at, pa.int64())), pa.array(doc_sigs, pa.binary()), pa.array(doc_sizes, pa.int64()), *[none] * 5], schema=kinds)
                 if held >= CHUNK:
                     yield flush(sets, sigs)
                     known, sets, sigs, held = {}, [], [], 0
         if sets:
             yield flush(sets, sigs)
 
-    return docs.select("doc_id", hashed_words(F.col("text")).alias("w")).mapInArrow(run, schema)
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), hashed_words(F.col("text")).alias("w")).mapInArrow(run, schema)
 
 
 def shared(found: DataFrame, bits: int) -> DataFrame:
@@ -335,12 +335,12 @@ def near_records(records: DataFrame, threshold: float, group: int = 1000) -> Dat
 
 
 def _found(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Distinct (doc_id, sig) of every document with grams; near pairs of signatures."""
+    """(doc_id, th, sig) of every row with grams; near pairs of signatures."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = bits_for(chars / 6, RANGE)
     base = scratch(shared(postings(docs, bits), bits), "grams")
     records = scratch(survivors(base.filter("bucket >= 0").select("bucket", *(f.name for f in _BLOB)), threshold), "records")
-    return base.filter("bucket < 0").select("doc_id", "sig").distinct(), near_records(records, threshold)
+    return base.filter("bucket < 0").select("doc_id", "th", "sig"), near_records(records, threshold)
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -351,23 +351,25 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     near = pairs.join(one, "sig_a").join(two, "sig_b")
     low, high = F.least("name_a", "name_b"), F.greatest("name_a", "name_b")
     near = near.select(low["doc_id"].alias("doc_a"), high["doc_id"].alias("doc_b"), F.round("jaccard", 6).alias("jaccard"))
-    copies = ids.join(names, "sig").filter(F.struct("doc_id") != F.col("name")).select(F.col("name")["doc_id"].alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    return near.union(copies)
+    copies = ids.join(names, "sig").filter(F.struct("doc_id") != F.col("name")).select("sig", F.col("name")["doc_id"].alias("doc_a"), F.col("doc_id").alias("doc_b")).distinct()
+    return near.union(copies.select("doc_a", "doc_b", F.lit(1.0).alias("jaccard")))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents without those near (directly or through others) to one of lower doc_id; of repeated rows one stays."""
-    pairs = jaccard_join(docs, threshold)
-    null_safe = F.struct("doc_id")
-    gone = components(pairs.select(F.struct(F.col("doc_a").alias("doc_id")).alias("a"), F.struct(F.col("doc_b").alias("doc_id")).alias("b"))).filter("node <> label").select(F.col("node").alias("_gone"))
-    once = docs.withColumn("_nth", F.row_number().over(_same_id())).filter("_nth = 1").drop("_nth")
-    return once.join(gone, null_safe == F.col("_gone"), "left_anti")
-
-
-def _same_id():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("doc_id").orderBy("text")
+    """One document of each group: those linked by near pairs, directly or through others.  The one of lowest doc_id (null first, then by the hash of the text) stays, once even where its row is repeated; documents without grams all stay."""
+    ids, pairs = _found(docs.select("doc_id", "text"), threshold)
+    linked = components(pairs.select(F.col("sig_a").alias("a"), F.col("sig_b").alias("b")))
+    key = F.struct("doc_id", "th")
+    names = ids.groupBy("sig").agg(F.min(key).alias("name"), F.count(F.lit(1)).alias("n")).join(linked, F.col("sig") == F.col("node"), "left").filter("n > 1 or label is not null").select("sig", "name", F.coalesce("label", "sig").alias("team"))
+    first = names.groupBy("team").agg(F.min("name").alias("first"))
+    rows = ids.join(names.join(first, "team").select("sig", "first"), "sig").groupBy("doc_id", "th", "first").agg(F.count(F.lit(1)).alias("n"))
+    # Only what isn't kept as it is: rows that go, and rows of which one of several stays.
+    change = scratch(rows.filter((key != F.col("first")) | (F.col("n") > 1)).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), (key != F.col("first")).alias("_gone")), "changes")
+    df = docs.join(side(change), docs["doc_id"].eqNullSafe(change["_id"]) & (F.xxhash64(docs["text"]) == change["_th"]), "left")
+    own = [df[c] for c in docs.columns]
+    plain = df.filter("_gone is null").select(*own)
+    several = df.filter("not _gone").withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_th").orderBy("_id"))).filter("_nth = 1").select(*own)
+    return plain.union(several)
 
 
 SQL = f"""
