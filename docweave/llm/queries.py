@@ -17,6 +17,7 @@ PLAIN = {
     "op5_near_vectors": ("vectors", "near_vectors", "embeddings"),
     "op7_secret_scan": ("secrets", "secret_scan", "documents"),
     "op8_url_filter": ("links", "url_filter", "pages"),
+    "op9_bpe": ("bpe", "encode", "documents"),
     "op10_line_dedup": ("lines", "line_dedup", "documents"),
 }
 
@@ -28,8 +29,14 @@ def _plain(module: str, function: str, table: str) -> Callable[[SparkSession, st
     return query
 
 
+def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_classifier
+
+    return quality_classifier(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _plain(*at) for name, at in PLAIN.items()}
+    return {"op1_quality_classifier": _quality} | {name: _plain(*at) for name, at in PLAIN.items()}
 
 
 def oracle_sql() -> dict[str, str]:
