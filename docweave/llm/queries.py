@@ -15,6 +15,7 @@ PLAIN = {
     "op2_best_fit_packing": ("packing", "best_fit", "documents"),
     "op4_jaccard_join": ("jaccard", "jaccard_join", "documents"),
     "op5_near_vectors": ("vectors", "near_vectors", "embeddings"),
+    "op6_katz_scores": ("katz", "katz_scores", "documents"),
     "op7_secret_scan": ("secrets", "secret_scan", "documents"),
     "op8_url_filter": ("links", "url_filter", "pages"),
     "op9_bpe": ("bpe", "encode", "documents"),
