@@ -35,11 +35,19 @@ def _clean() -> None:
             return
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def scratch(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there, and the loss of an executor costs nothing."""
+    """Writes df to the shared folder and reads it back: lineage ends there, and the loss of an executor costs nothing.  Its shuffle files go as soon as it is written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

@@ -19,7 +19,8 @@ that name with similarity 1.  So the partners of a copy are the partners of its
 
 Defined results: null, empty and blank texts have no grams and no partners; texts are taken whole; rows
 that agree in doc_id and set of grams are one document; null doc_id sorts first and may name a record;
-an empty table gives no rows; other columns are not read.
+an empty table gives no rows; other columns are not read.  The input must give the same rows in the same
+order when a task is run again, as tables do.
 """
 
 from __future__ import annotations
@@ -58,50 +59,30 @@ def least_overlap(a: float, b: float, t: float) -> int:
 
 # -- records and postings
 
-
-def _blob(g: np.ndarray, rec: np.ndarray, sigs: np.ndarray, sizes: np.ndarray, df: np.ndarray | None = None) -> dict:
-    there, idx = np.unique(rec, return_inverse=True)
-    return {"g": pack(g), "rec": planes(idx.astype(np.uint32)), "sigs": sigs[there].tobytes(), "sizes": planes(sizes[there].astype(np.uint32)), "df": None if df is None else planes(df.astype(np.uint32))}
-
-
-def _opened(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
-    """Grams, record of each, signatures and sizes of the records, frequencies, of all blobs of a group together."""
-    g, rec, sigs, sizes, df, n = [], [], [], [], [], 0
-    for r in t.select(["g", "rec", "sigs", "sizes", "df"]).to_pylist():
-        g.append(unpack(r["g"]))
-        rec.append(unplanes(r["rec"], np.uint32).astype(np.int64) + n)
-        sigs.append(np.frombuffer(r["sigs"], "V16"))
-        sizes.append(unplanes(r["sizes"], np.uint32))
-        df.append(unplanes(r["df"], np.uint32) if r["df"] else np.zeros(0, np.uint32))
-        n += len(sizes[-1])
-    every, first, inverse = np.unique(np.concatenate(sigs), return_index=True, return_inverse=True)
-    return np.concatenate(g), inverse[np.concatenate(rec)], every, np.concatenate(sizes)[first], np.concatenate(df)
-
-
-_BLOB = [T.StructField(k, T.BinaryType()) for k in ("g", "rec", "sigs", "sizes", "df")]
+_BLOB = [T.StructField(k, T.BinaryType()) for k in ("g", "rec", "df", "sigs", "sizes")]
 
 
 def postings(docs: DataFrame, bits: int, n: int = GRAM) -> DataFrame:
-    """Two kinds of rows: (doc_id, th: hash of the text, sig, size) of every document with grams, at a negative bucket, and blobs of postings by bucket."""
-    schema = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("th", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("size", T.LongType()), *_BLOB])
+    """Three kinds of rows, told apart by the bucket: -1 is a document (doc_id, th: hash of the text, sig: hash of its set of grams), -2 a chunk's records (sigs, sizes), any other has a chunk's postings in a range of hashes (g, rec)."""
+    schema = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("chunk", T.LongType()), T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("th", T.LongType()), T.StructField("sig", T.BinaryType()), *_BLOB])
     names, kinds = schema.names, to_arrow_schema(schema)
 
-    def flush(sets: list[np.ndarray], sigs: list[bytes]) -> pa.RecordBatch:
+    def flush(chunk: int, sets: list[np.ndarray], sigs: list[bytes]) -> pa.RecordBatch:
         sizes = np.array([len(s) for s in sets])
-        g, rec = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        g, rec = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint32), sizes)
         order = np.argsort(g)
         g, rec = g[order], rec[order]
         at = parts(g, bits)
-        all_sigs = np.frombuffer(b"".join(sigs), "V16")
-        rows = [{"bucket": k} | _blob(g[at[k] : at[k + 1]], rec[at[k] : at[k + 1]], all_sigs, sizes) for k in range(len(at) - 1) if at[k + 1] > at[k]]
+        rows = [{"bucket": -2, "chunk": chunk, "sigs": b"".join(sigs), "sizes": planes(sizes.astype(np.uint32))}]
+        rows += [{"bucket": k, "chunk": chunk, "g": pack(g[a:e]), "rec": planes(rec[a:e])} for k, (a, e) in enumerate(zip(at[:-1], at[1:], strict=True)) if e > a]
         return pa.RecordBatch.from_pylist([{c: r.get(c) for c in names} for r in rows], schema=kinds)
 
     def run(batches):
-        known: dict[bytes, int] = {}
+        known: set[bytes] = set()
         sets: list[np.ndarray] = []
         sigs: list[bytes] = []
         held = 0
-        part = TaskContext.get().partitionId()
+        chunk = TaskContext.get().partitionId() << 32
         for b in batches:
             flat, bounds = lists(b.column(2))
             words = flat.view(np.uint64)
@@ -109,84 +90,92 @@ def postings(docs: DataFrame, bits: int, n: int = GRAM) -> DataFrame:
                 base = bounds[lo]
                 own = words[base : bounds[hi]]
                 every = grams(own, n)
-                at, doc_sigs, doc_sizes = [], [], []
+                at, doc_sigs = [], []
                 for i in range(lo, hi):
                     s, e = bounds[i] - base, bounds[i + 1] - base
                     if e == s:
                         continue
                     g = np.unique(every[s : e - n + 1]) if e - s >= n else grams(own[s:e], int(e - s))
                     sig = xxhash.xxh3_128_digest(g.tobytes())
-                    at.append(i), doc_sigs.append(sig), doc_sizes.append(len(g))
+                    at.append(i), doc_sigs.append(sig)
                     if sig not in known:
-                        known[sig] = len(sets)
+                        known.add(sig)
                         sets.append(g), sigs.append(sig)
                         held += len(g)
-                none = pa.nulls(len(at), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([-1 - part] * len(at), pa.int64()), b.column(0).take(pa.array(at, pa.int64())), b.column(1).take(pa.array(at, pa.int64())), pa.array(doc_sigs, pa.binary()), pa.array(doc_sizes, pa.int64()), *[none] * 5], schema=kinds)
+                take, none = pa.array(at, pa.int64()), pa.nulls(len(at), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([-1] * len(at), pa.int64()), pa.array([chunk] * len(at), pa.int64()), b.column(0).take(take), b.column(1).take(take), pa.array(doc_sigs, pa.binary()), *[none] * 5], schema=kinds)
                 if held >= CHUNK:
-                    yield flush(sets, sigs)
-                    known, sets, sigs, held = {}, [], [], 0
+                    yield flush(chunk, sets, sigs)
+                    known, sets, sigs, held = set(), [], [], 0
+                    chunk += 1
         if sets:
-            yield flush(sets, sigs)
+            yield flush(chunk, sets, sigs)
 
     return docs.select("doc_id", F.xxhash64("text").alias("th"), hashed_words(F.col("text")).alias("w")).mapInArrow(run, schema)
 
 
-def shared(found: DataFrame, bits: int) -> DataFrame:
-    """Of each range of hashes the postings of grams that several records have, with their frequency, now by record (bucket: range of signatures); rows of documents pass through."""
+def shared(found: DataFrame) -> DataFrame:
+    """Of each range of hashes the postings of grams that occur in several places (df of them), by chunk; rows of documents and of records pass through."""
     schema = found.schema
     names = schema.names
 
     def run(t: pa.Table) -> pa.Table:
         if t.column("bucket")[0].as_py() < 0:
             return t
-        g, rec, sigs, sizes, _ = _opened(t)
-        order = np.argsort(g, kind="stable")
-        g, rec = g[order], rec[order]
+        rows = t.select(["chunk", "g", "rec"]).to_pylist()
+        g = [unpack(r["g"]) for r in rows]
+        lengths = [len(x) for x in g]
+        g, rec, of = np.concatenate(g), np.concatenate([unplanes(r["rec"], np.uint32) for r in rows]), np.repeat(np.arange(len(rows), dtype=np.uint32), lengths)
+        order = np.argsort(g)
+        s = g[order]
         again = np.zeros(len(g), bool)
-        again[1:] = g[1:] == g[:-1]
+        again[1:] = s[1:] == s[:-1]
         again[:-1] |= again[1:]
-        g, rec = g[again], rec[again]
-        order = np.lexsort((rec, g))
-        g, rec = g[order], rec[order]
-        new = np.ones(len(g), bool)
-        new[1:] = (g[1:] != g[:-1]) | (rec[1:] != rec[:-1])
-        g, rec = g[new], rec[new]
-        _, which, df = np.unique(g, return_inverse=True, return_counts=True)
-        df = df[which]
-        keep = df > 1
-        g, rec, df = g[keep], rec[keep], df[keep]
-        to = np.frombuffer(sigs.tobytes(), ">u8")[::2].astype(np.uint64)[rec] >> np.uint64(64 - bits) if bits else np.zeros(len(rec), np.uint64)
-        order = np.lexsort((g, to))
-        g, rec, df, to = g[order], rec[order], df[order], to[order]
-        at = np.concatenate([[0], np.nonzero(np.diff(to))[0] + 1, [len(to)]]) if len(to) else np.array([0])
-        rows = [{"bucket": int(to[a])} | _blob(g[a:e], rec[a:e], sigs, sizes, df[a:e]) for a, e in zip(at[:-1], at[1:], strict=True)]
-        return pa.Table.from_pylist([{c: r.get(c) for c in names} for r in rows], schema=t.schema)
+        order = order[again]
+        _, which, df = np.unique(g[order], return_inverse=True, return_counts=True)
+        # Places ascend within a blob, and so do its grams.
+        back = np.argsort(order)
+        order, df = order[back], df[which][back]
+        g, rec, of = g[order], rec[order], of[order]
+        at = np.searchsorted(of, np.arange(len(rows) + 1))
+        out = [{"bucket": 0, "chunk": r["chunk"], "g": pack(g[a:e]), "rec": planes(rec[a:e]), "df": planes(df[a:e].astype(np.uint32))} for r, a, e in zip(rows, at[:-1], at[1:], strict=True) if e > a]
+        return pa.Table.from_pylist([{c: r.get(c) for c in names} for r in out], schema=t.schema)
 
-    return found.groupBy("bucket").applyInArrow(run, schema)
+    # Rows that pass through are spread as well.
+    spread = F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("chunk"), F.lit(1 << 20))).otherwise(F.col("bucket"))
+    return found.groupBy(spread.alias("range")).applyInArrow(run, schema)
 
 
 RECORD = "sig binary, size bigint, grams binary, prefix array<bigint>"
 
 
 def survivors(blobs: DataFrame, threshold: float) -> DataFrame:
-    """sig, size, grams (those that other records have too, ascending), prefix, of every record that can have a partner."""
+    """sig, size, grams (those that others have too, ascending), prefix, of every record that can have a partner; a set that several chunks have comes from each."""
+    kinds = pa.schema([("sig", pa.binary()), ("size", pa.int64()), ("grams", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
     def run(t: pa.Table) -> pa.Table:
-        g, rec, sigs, sizes, df = _opened(t)
+        rows = t.select(["sigs", "sizes", "g", "rec", "df"]).to_pylist()
+        own = next(r for r in rows if r["sigs"] is not None)
+        sigs, sizes = np.frombuffer(own["sigs"], "V16"), unplanes(own["sizes"], np.uint32)
+        rows = [r for r in rows if r["g"] is not None]
+        if not rows:
+            return kinds.empty_table()
+        g, rec, df = np.concatenate([unpack(r["g"]) for r in rows]), np.concatenate([unplanes(r["rec"], np.uint32) for r in rows]), np.concatenate([unplanes(r["df"], np.uint32) for r in rows])
+        enough = np.bincount(rec, minlength=len(sigs)) >= np.ceil(threshold * sizes - SLACK)
+        keep = enough[rec]
+        g, rec, df = g[keep], rec[keep], df[keep]
         order = np.lexsort((g, df, rec))
         g, rec = g[order], rec[order]
         at = np.searchsorted(rec, np.arange(len(sigs) + 1))
         out = []
-        for i, size in enumerate(sizes.tolist()):
-            own = g[at[i] : at[i + 1]]
+        for i in np.nonzero(enough)[0].tolist():
+            mine, size = g[at[i] : at[i + 1]], int(sizes[i])
             need = math.ceil(threshold * size - SLACK)
-            if len(own) >= need and len(own):
-                prefix = own[: max(0, (size - need + 1) - (size - len(own)))]
-                out.append({"sig": sigs[i].tobytes(), "size": size, "grams": np.sort(own).tobytes(), "prefix": prefix.view(np.int64)})
-        return pa.Table.from_pylist(out, schema=pa.schema([("sig", pa.binary()), ("size", pa.int64()), ("grams", pa.binary()), ("prefix", pa.list_(pa.int64()))]))
+            prefix = mine[: max(0, (size - need + 1) - (size - len(mine)))]
+            out.append({"sig": sigs[i].tobytes(), "size": size, "grams": np.sort(mine).tobytes(), "prefix": prefix.view(np.int64)})
+        return pa.Table.from_pylist(out, schema=kinds)
 
-    return blobs.groupBy("bucket").applyInArrow(run, RECORD)
+    return blobs.groupBy("chunk").applyInArrow(run, RECORD)
 
 
 # -- DivideSkip
@@ -323,9 +312,10 @@ def near_records(records: DataFrame, threshold: float, group: int = 1000) -> Dat
         for k in range(1, t.num_rows + 1):
             if k < t.num_rows and label[k] == label[at] and block[k] == block[at]:
                 continue
-            if k - at > 1:
-                for i, j, o in join_block(size[at:k], [np.frombuffer(x, np.uint64) for x in blobs[at:k]], threshold):
-                    i, j = i + at, j + at
+            here = [i for i in range(at, k) if i == at or sig[i] != sig[i - 1]]  # the same set from several chunks is one record
+            if len(here) > 1:
+                for i, j, o in join_block(size[here], [np.frombuffer(blobs[i], np.uint64) for i in here], threshold):
+                    i, j = here[i], here[j]
                     if min(band[i], band[j]) == block[i]:
                         out.append({"sig_a": sig[i], "sig_b": sig[j], "jaccard": float(o / (size[i] + size[j] - o))})
             at = k
@@ -338,9 +328,9 @@ def _found(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(doc_id, th, sig) of every row with grams; near pairs of signatures."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = bits_for(chars / 6, RANGE)
-    base = scratch(shared(postings(docs, bits), bits), "grams")
-    records = scratch(survivors(base.filter("bucket >= 0").select("bucket", *(f.name for f in _BLOB)), threshold), "records")
-    return base.filter("bucket < 0").select("doc_id", "th", "sig"), near_records(records, threshold)
+    base = scratch(shared(postings(docs, bits)), "grams")
+    records = scratch(survivors(base.filter("bucket <> -1").select("chunk", *(f.name for f in _BLOB)), threshold), "records")
+    return base.filter("bucket = -1").select("doc_id", "th", "sig"), near_records(records, threshold)
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
