@@ -83,7 +83,7 @@ def report_unlocks(jobs: DataFrame, report: DataFrame, versions: dict[str, str])
     items = report.select(F.explode("items").alias("i")).select("i.source_id", F.col("i.dom_hash").alias("_h"), F.col("i.latex").alias("_l"))
     both = jobs.join(items, "source_id", "full_outer")
     stat = both.agg(
-        F.count(F.lit(1)).alias("pairs"), F.count("dom_hash").alias("jobs"), F.count("_h").alias("items"),
+        F.count(F.lit(1)).alias("n_pairs"), F.count("dom_hash").alias("n_jobs"),
         F.coalesce(F.bool_and(F.col("dom_hash").isNotNull() & F.col("_h").isNotNull()), F.lit(True)).alias("same_ids"),
         F.min(F.when(F.col("dom_hash") != F.col("_h"), F.col("source_id"))).alias("bad_hash"), F.min(F.when(F.col("latex") != F.col("_l"), F.col("source_id"))).alias("bad_latex"),
     )
@@ -93,9 +93,9 @@ def report_unlocks(jobs: DataFrame, report: DataFrame, versions: dict[str, str])
         (~(F.coalesce("runtime_loaded", F.lit(False)) & F.coalesce("completed", F.lit(False))), F.lit("validation did not complete with a loaded runtime")),
         (F.trim(F.coalesce("katex_version", F.lit(""))) == "", F.lit("katex_version is missing")),
         (F.size("failures") > 0, F.concat(F.lit("failures: "), F.size("failures").cast("string"))),
-        (F.size(F.array_distinct(F.transform("items", lambda x: x["source_id"]))) != F.size(report["items"]), F.lit("duplicate source ids")),
+        (F.size(F.array_distinct(F.transform("items", lambda x: x["source_id"]))) != F.size("items"), F.lit("duplicate source ids")),
         (~F.col("same_ids"), F.lit("source ids do not match the pending batch")),
-        ((F.col("total") != F.col("jobs")) | (F.col("passed") != F.col("jobs")), F.lit("counts do not match the pending batch")),
+        ((F.col("total") != F.col("n_jobs")) | (F.col("passed") != F.col("n_jobs")), F.lit("counts do not match the pending batch")),
         (F.col("bad_hash").isNotNull(), F.concat(F.lit("dom_hash mismatch for "), "bad_hash")),
         (F.col("bad_latex").isNotNull(), F.concat(F.lit("LaTeX mismatch for "), "bad_latex")),
     ]
