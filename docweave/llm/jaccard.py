@@ -45,8 +45,8 @@ GRAM = 3
 THRESHOLD = 0.5
 #: Grams that a map task holds at once, and that a range of hashes should have (about).
 CHUNK, RANGE = 2_000_000, 1_500_000
-#: Weight of DivideSkip's cost of a probe against a step of the heap.
-MU = 0.01
+#: DivideSkip's weight of a probe against a step of the merge.
+MU = 0.5
 #: From so many postings on, short lists are merged by counting them at once instead of one by one.
 MANY = 2_000
 SLACK = 1e-9
@@ -216,36 +216,36 @@ def _first_at_least(own: list[int], target: int, lo: int) -> int:
     return bisect_left(own, target, lo)
 
 
-def divide_skip(own: list[tuple[np.ndarray, int]], need: int) -> tuple[np.ndarray, np.ndarray]:
-    """Records that occur at least need times in the weighted inverted lists, and how often."""
-    own = sorted(own, key=lambda x: len(x[0]))
-    total = sum(w for _, w in own)
+def divide_skip(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, weights: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """Records that occur at least need times in the weighted inverted lists (spans of flat), and how often."""
     none = np.zeros(0, np.int64)
-    if total < need or not own:
+    lengths = ends - starts
+    if not len(lengths) or int(weights.sum()) < need:
         return none, none
-    aside = int(need / (MU * math.log2(max(len(own[-1][0]), 2)) + 1))
-    long: list[tuple[np.ndarray, int]] = []
-    weight = 0
-    while own and weight + own[-1][1] < need and weight + own[-1][1] <= aside:
-        long.append(own.pop())
-        weight += long[-1][1]
-    rest = need - weight
-    if sum(len(x) for x, _ in own) > MANY:
-        flat = np.concatenate([x for x, _ in own])
-        low = int(flat.min())
-        count = np.bincount(flat - low, np.repeat([w for _, w in own], [len(x) for x, _ in own])).astype(np.int64)
-        found = np.nonzero(count >= rest)[0]
+    order = np.argsort(lengths, kind="stable")
+    starts, ends, weights, lengths = starts[order], ends[order], weights[order], lengths[order]
+    aside = min(need - 1, int(need / (MU * math.log2(max(int(lengths[-1]), 2)) + 1)))
+    n = len(lengths) - int(np.searchsorted(np.cumsum(weights[::-1]), aside, side="right"))
+    weight = int(weights[n:].sum())
+    total = int(lengths[:n].sum())
+    if total > MANY:
+        at = np.cumsum(lengths[:n]) - lengths[:n]
+        own = flat[np.repeat(starts[:n] - at, lengths[:n]) + np.arange(total)]
+        low = int(own.min())
+        count = np.bincount(own - low, np.repeat(weights[:n], lengths[:n])).astype(np.int64)
+        found = np.nonzero(count >= need - weight)[0]
         count, found = count[found], found + low
     else:
-        merged = merge_skip([(x.tolist(), w) for x, w in own], rest)
+        merged = merge_skip([(flat[a:e].tolist(), w) for a, e, w in zip(starts[:n].tolist(), ends[:n].tolist(), weights[:n].tolist(), strict=True)], need - weight)
         found = np.array(sorted(merged), np.int64)
         count = np.array([merged[i] for i in sorted(merged)], np.int64)
-    for x, w in reversed(long):
+    for k in range(n, len(lengths)):
         if not len(found):
             break
+        x = flat[starts[k] : ends[k]]
         place = np.minimum(np.searchsorted(x, found), len(x) - 1)
-        count = count + w * (x[place] == found)
-        weight -= w
+        count = count + weights[k] * (x[place] == found)
+        weight -= int(weights[k])
         alive = count + weight >= need
         found, count = found[alive], count[alive]
     return found, count
@@ -253,38 +253,38 @@ def divide_skip(own: list[tuple[np.ndarray, int]], need: int) -> tuple[np.ndarra
 
 def join_block(sizes: np.ndarray, sets: list[np.ndarray], threshold: float) -> list[tuple[int, int, int]]:
     """Pairs of near records of a block (first below second in the given order, which must be by size) with their overlap."""
-    flat, rec = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    order = np.lexsort((rec, flat))
-    flat, rec = flat[order], rec[order]
-    at = np.concatenate([[0], np.nonzero(np.diff(flat))[0] + 1, [len(flat)]])
+    grams_, rec = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.lexsort((rec, grams_))
+    grams_, rec = grams_[order], rec[order]
+    at = np.concatenate([[0], np.nonzero(np.diff(grams_))[0] + 1, [len(grams_)]])
     # Grams that exactly the same records have are one list with a weight.
     index: dict[bytes, int] = {}
     inverted: list[np.ndarray] = []
-    weights: list[int] = []
+    heavy: list[int] = []
     for a, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
         if e - a < 2:
             continue
         k = index.setdefault(rec[a:e].tobytes(), len(inverted))
         if k == len(inverted):
-            inverted.append(rec[a:e]), weights.append(0)
-        weights[k] += 1
-    mine: list[list[int]] = [[] for _ in sets]
-    for k, members in enumerate(inverted):
-        for i in members.tolist():
-            mine[i].append(k)
+            inverted.append(rec[a:e]), heavy.append(0)
+        heavy[k] += 1
+    if not inverted:
+        return []
+    flat, weights = np.concatenate(inverted), np.array(heavy)
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in inverted])])
+    which = np.repeat(np.arange(len(inverted)), np.diff(bounds))
+    # Where each record stands in its lists: what comes after it is what it must look at.
+    place = np.argsort(flat, kind="stable")
+    of = np.searchsorted(flat[place], np.arange(len(sets) + 1))
     found = []
     for i, size in enumerate(sizes.tolist()):
-        most = int(np.searchsorted(sizes, size / threshold + SLACK, side="right"))
-        own = []
-        for k in mine[i]:
-            x = inverted[k]
-            x = x[np.searchsorted(x, i + 1) : np.searchsorted(x, most)]
-            if len(x):
-                own.append((x, weights[k]))
-        near, overlap = divide_skip(own, least_overlap(size, size, threshold))
-        for j, o in zip(near.tolist(), overlap.tolist(), strict=True):
-            if o >= least_overlap(size, int(sizes[j]), threshold):
-                found.append((i, j, o))
+        here = place[of[i] : of[i + 1]]
+        lists_ = which[here]
+        starts, ends = here + 1, bounds[lists_ + 1]
+        some = ends > starts
+        near, overlap = divide_skip(flat, starts[some], ends[some], weights[lists_[some]], least_overlap(size, size, threshold))
+        ok = overlap * (1 + threshold) >= threshold * (size + sizes[near]) - SLACK if len(near) else near
+        found += [(i, j, o) for j, o, good in zip(near.tolist(), overlap.tolist(), np.asarray(ok).tolist(), strict=True) if good]
     return found
 
 
