@@ -355,11 +355,11 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = ids.join(names.join(first, "team").select("sig", "first"), "sig").groupBy("doc_id", "th", "first").agg(F.count(F.lit(1)).alias("n"))
     # Only what isn't kept as it is: rows that go, and rows of which one of several stays.
     change = scratch(rows.filter((key != F.col("first")) | (F.col("n") > 1)).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), (key != F.col("first")).alias("_gone")), "changes")
-    df = docs.join(side(change), docs["doc_id"].eqNullSafe(change["_id"]) & (F.xxhash64(docs["text"]) == change["_th"]), "left")
-    own = [df[c] for c in docs.columns]
-    plain = df.filter("_gone is null").select(*own)
-    several = df.filter("not _gone").withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_th").orderBy("_id"))).filter("_nth = 1").select(*own)
-    return plain.union(several)
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64("text").alias("own"))
+    df = row.join(side(change), F.col("row")["doc_id"].eqNullSafe(change["_id"]) & (F.col("own") == change["_th"]), "left")
+    plain = df.filter("_gone is null").select("row")
+    several = df.filter("not _gone").withColumn("nth", F.row_number().over(Window.partitionBy("_id", "_th").orderBy("_id"))).filter("nth = 1").select("row")
+    return plain.union(several).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 SQL = f"""

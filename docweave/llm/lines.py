@@ -50,30 +50,32 @@ def covered(docs: DataFrame) -> DataFrame:
     return later.groupBy("doc_id", "t").agg(reach.alias("starts")).select("doc_id", "t", gone.alias("gone"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """The documents with ``text`` cut, ``n_chars`` (if there) set anew, and every other column as it was."""
-    return _apply(docs).drop("_removed")
-
-
 def _apply(docs: DataFrame) -> DataFrame:
-    gone = covered(docs).select(F.col("doc_id").alias("_g_id"), F.col("t").alias("_g_t"), F.col("gone").alias("_gone"))
-    df = docs.withColumn("_t", _hash(F.col("text")))
-    df = df.join(gone.hint("shuffle_hash"), df["doc_id"].eqNullSafe(F.col("_g_id")) & (F.col("_t") == F.col("_g_t")), "left")
+    """The columns of docs, beside _removed; they travel in one struct, so that none of them clashes with what is added."""
+    gone = covered(docs.select("doc_id", "text"))
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").alias("x"), _hash(F.col("text")).alias("th"))
+    df = row.join(gone.hint("shuffle_hash"), F.col("row")["doc_id"].eqNullSafe(F.col("doc_id")) & (F.col("th") == F.col("t")), "left")
     blank = lambda x: F.btrim(x, F.lit(" \t\r\f")) == ""
     # Numbers of the lines that aren't blank: one walk over the flags, then the kept lines are put together again.
     number = F.aggregate(
-        _lines(F.col("text")),
+        _lines(F.col("x")),
         F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("kept")),
         lambda s, x: F.struct(
             (s["n"] + F.when(blank(x), 0).otherwise(1)).alias("n"),
-            F.when(~blank(x) & F.array_contains(F.col("_gone"), s["n"]), s["kept"]).otherwise(F.array_append(s["kept"], x)).alias("kept"),
+            F.when(~blank(x) & F.array_contains(F.col("gone"), s["n"]), s["kept"]).otherwise(F.array_append(s["kept"], x)).alias("kept"),
         ),
     )["kept"]
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(number, "\n"))
-    out = df.withColumn("text", text).withColumn("_removed", F.coalesce(F.size("_gone"), F.lit(0)))
+    df = df.select("row", F.when(F.col("gone").isNull(), F.col("x")).otherwise(F.array_join(number, "\n")).alias("new"), F.coalesce(F.size("gone"), F.lit(0)).alias("removed"))
+    new = {"text": F.col("new")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.drop("_g_id", "_g_t", "_gone", "_t")
+        new["n_chars"] = F.length("new").cast(docs.schema["n_chars"].dataType)
+    return df.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns), F.col("removed").alias("_removed"))
+
+
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """The documents with ``text`` cut, ``n_chars`` (if there) set anew, and every other column as it was."""
+    df = _apply(docs)
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).drop(f"c{len(docs.columns)}").toDF(*docs.columns)
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,7 +93,6 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
         for g, j in zip(groups, which, strict=True):
             waiting[j].extend(g.tolist())
         demand = np.array([len(w) for w in waiting])
-        rounded_room: list[int] = []
         for column, times in configurations(sizes, demand, capacity):
             for _ in range(int(times + EPS)):
                 members = [waiting[j].pop() for j in np.nonzero(column)[0] for _ in range(min(column[j], len(waiting[j])))]
@@ -102,7 +102,6 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
         # What the whole part leaves over: best fit of the actual lengths, longest first.
         rest = sorted((i for w in waiting for i in w), key=lambda i: (-lengths[i], i))
         small = np.concatenate([np.array(rest, np.int64), small]) if rest else small
-        del rounded_room
     free = sorted((r, b) for b, r in enumerate(room))
     for i in small:
         need = int(lengths[i])
@@ -128,7 +127,7 @@ def best_fit(docs: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_
     schema = T.StructType([T.StructField("bin_id", T.LongType()), T.StructField("doc_id", id_type), T.StructField("piece", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_words", T.LongType())])
 
     def one(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("n", "descending"), ("doc_id", "ascending")])
+        table = table.take(pc.sort_indices(table, [("n", "descending"), ("doc_id", "ascending")], null_placement="at_start"))
         n = table.column("n").to_numpy()
         shard = table.column("shard")[0].as_py()
         pieces = np.maximum(-(-n // capacity), 1)

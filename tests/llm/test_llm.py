@@ -1,0 +1,486 @@
+"""Each operator against SQL or a brute-force version, and on nulls, empty and long texts, ties, repeated rows, empty tables and clashing names."""
+
+import collections
+import itertools
+import math
+import random
+
+import numpy as np
+import pytest
+from docweave.llm import bpe, components, jaccard, katz, lines, links, packing, quality, queries, rules, secrets, vectors
+from oracle import compare
+
+SF = "/root/testdata/sf0.001"
+LONG = "lorem ipsum dolor sit amet " * 60_000
+TEXTS = [None, "", "   ", "\n\n", "one", "one", "the cat sat on the mat and the dog", "the cat sat on the mat and the dog", "a\nb\nc\nd\na\nb\nc", LONG, "x" * 300_000, "password: Xk9$mQ2vTr77LpZ"]
+
+
+def odd(spark, empty=False):
+    """Odd rows, a repeated doc_id, a null one, and columns with names that operators use themselves."""
+    rows = [(None if i == 5 else 3 if i == 4 else i, t, None if i % 3 else "en", "s", len(t or ""), i, "t", "g", 1.5) for i, t in enumerate(TEXTS)]
+    df = spark.createDataFrame([] if empty else rows + rows[6:7], "doc_id bigint, text string, lang string, source string, n_chars bigint, _gone int, row string, gone string, th double")
+    return df.withColumnRenamed("th", "sig").repartition(3) if not empty else df.withColumnRenamed("th", "sig")
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(spark, name):
+    compare(spark, name, SF)
+
+
+# -- 1
+
+
+def test_quality_held_out(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    y = labels.toPandas()
+    train, test = y[y.doc_id % 4 != 0], y[y.doc_id % 4 == 0]
+    got = quality.quality_classifier(docs, spark.createDataFrame(train)).toPandas()
+    assert len(got) == docs.count()
+    m = test.merge(got, on="doc_id", suffixes=("", "_p"))
+    assert ((m.quality_p >= 0.5) == (m.quality == 1)).mean() > 0.88
+    good = m[(m.quality == 1) & (m.toxic == 0)]
+    assert good.keep.mean() > 0.9
+    assert abs(m.quality_p.mean() - m.quality.mean()) < 0.1  # calibrated on the whole
+
+
+def test_quality_odd(spark):
+    labels = spark.createDataFrame([(7, 1, 0), (9, 0, None), (None, 1, 1), (7, 1, 0), (99, 1, 0)], "doc_id bigint, quality int, toxic int")
+    got = quality.quality_classifier(odd(spark), labels).collect()
+    assert len(got) == len(TEXTS) + 1 and all(0 <= r["quality"] <= 1 for r in got)
+    none = quality.quality_classifier(odd(spark), labels.limit(0)).collect()
+    assert {(r["quality"], r["keep"]) for r in none} == {(None, True)}
+    assert quality.quality_classifier(odd(spark, True), labels).count() == 0
+
+
+def test_temperature():
+    r = np.random.default_rng(0)
+    z = r.normal(0, 4, 4000)
+    y = (r.random(4000) < 1 / (1 + np.exp(-z / 2))).astype(float)
+    assert abs(quality.temperature(z, y) - 2) < 0.3
+
+
+# -- 2
+
+
+def fits(rows, docs, capacity):
+    bins = collections.defaultdict(int)
+    words = collections.Counter()
+    for r in rows:
+        assert 0 <= r["n_words"] <= capacity and (r["bin_id"] is None) == (r["n_words"] == 0)
+        if r["bin_id"] is not None:
+            bins[r["bin_id"]] += r["n_words"]
+        words[r["doc_id"]] += r["n_words"]
+    assert all(v <= capacity for v in bins.values())
+    want = collections.Counter()
+    for i, t in docs:
+        want[i] += len((t or "").split())
+    assert +words == +want and set(words) == set(want)
+    return bins
+
+
+def test_packing(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    for capacity, shard in ((512, 60), (2048, 20_000)):
+        got = packing.best_fit(spark.createDataFrame(rows, "doc_id bigint, text string"), capacity, shard).collect()
+        bins = fits(got, rows, capacity)
+        assert len(bins) <= 1.25 * sum(bins.values()) / capacity + 5
+
+
+def test_packing_odd(spark):
+    rows = [tuple(r) for r in odd(spark).select("doc_id", "text").collect()]
+    fits(packing.best_fit(odd(spark), 100).collect(), rows, 100)
+    assert packing.best_fit(odd(spark, True)).count() == 0
+
+
+def test_packing_near_optimum():
+    r = random.Random(5)
+    for _ in range(30):
+        lengths = np.array([r.randint(1, 20) for _ in range(r.randint(1, 9))])
+        best = len(lengths)
+        for cut in itertools.product(range(len(lengths)), repeat=min(len(lengths), 6)) if len(lengths) <= 6 else ():
+            loads = collections.Counter()
+            for n, b in zip(lengths, cut, strict=True):
+                loads[b] += n
+            if max(loads.values()) <= 20:
+                best = min(best, len(loads))
+        got = packing.pack(lengths, 20)
+        assert got.min() >= 0 and max(np.bincount(got, lengths)) <= 20
+        if len(lengths) <= 6:
+            assert len(set(got)) <= best + 1
+
+
+# -- 3
+
+
+def test_rules_distance(spark):
+    from pyspark.sql import functions as F
+
+    got = spark.range(1).select(rules.js_distance(F.array(*map(F.lit, (1, 3, 0))), F.array(*map(F.lit, (2, 2, 4)))).alias("d")).first()["d"]
+    p, q = np.array([1, 3, 0]) / 4, np.array([2, 2, 4]) / 8
+    m = (p + q) / 2
+    kl = lambda a: sum(x * math.log2(x / y) for x, y in zip(a, m, strict=True) if x)
+    assert abs(got - math.sqrt((kl(p) + kl(q)) / 2)) < 1e-9
+
+
+def test_rules_odd(spark):
+    df = odd(spark)
+    verdict = rules.quality_rules(df).collect()
+    assert len(verdict) == len(TEXTS) + 1
+    by = collections.defaultdict(set)
+    for r in verdict:
+        by[r["doc_id"]].add(r["reason"])
+    assert by[0] == by[1] == by[2] == {"empty"} and by[6] == {"short"}
+    kept = rules.keep_good(df)
+    assert kept.columns == df.columns and kept.count() == sum(r["keep"] for r in verdict)
+    assert rules.quality_rules(odd(spark, True)).count() == rules.keep_good(odd(spark, True)).count() == 0
+
+
+# -- 4
+
+
+def gram_set(t, n=jaccard.GRAM):
+    w = (t or "").lower().split()
+    return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
+
+
+def near_pairs(docs, threshold=jaccard.THRESHOLD):
+    names = {}
+    for i, t in docs:
+        if s := gram_set(t):
+            names.setdefault(s, []).append(i)
+    first = {s: min(v, key=lambda i: (i is not None, i)) for s, v in names.items()}
+    out = {(first[s], i, 1.0) for s, v in names.items() for i in v if i != first[s]}
+    for a, b in itertools.combinations(names, 2):
+        j = len(a & b) / len(a | b)
+        if j >= threshold - 1e-12:
+            x, y = sorted((first[a], first[b]), key=lambda i: (i is not None, i))
+            out.add((x, y, round(j, 6)))
+    return out
+
+
+def crowd(seed=3):
+    """Groups of copies with edits, and passages that many share."""
+    r = random.Random(seed)
+    words = ["w%d" % i for i in range(400)]
+    shared = [r.choice(words) for _ in range(30)]
+    docs = []
+    for _ in range(12):
+        base = [r.choice(words) for _ in range(r.randint(5, 80))]
+        for _ in range(r.choice([1, 1, 2, 5, 14])):
+            own = [w if r.random() > 0.05 else r.choice(words) for w in base]
+            docs.append(" ".join(own + (shared if r.random() < 0.4 else [])))
+    return [(i, t) for i, t in enumerate(docs + docs[:6])]
+
+
+@pytest.mark.parametrize("many", [0, 10**9])
+def test_jaccard_brute(spark, many, monkeypatch):
+    rows = crowd()
+    monkeypatch.setattr(jaccard, "MANY", many)
+    got = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5))
+    assert {tuple(r) for r in got.collect()} == near_pairs(rows)
+
+
+def test_divide_skip():
+    r = random.Random(1)
+    for _ in range(300):
+        own = [(sorted(r.sample(range(30), r.randint(1, 20))), r.randint(1, 4)) for _ in range(r.randint(1, 12))]
+        count = collections.Counter()
+        for x, w in own:
+            for i in x:
+                count[i] += w
+        need = r.randint(1, 12)
+        want = {i: c for i, c in count.items() if c >= need}
+        flat = np.concatenate([x for x, _ in own])
+        ends = np.cumsum([len(x) for x, _ in own])
+        found, n = jaccard.divide_skip(flat, ends - [len(x) for x, _ in own], ends, np.array([w for _, w in own]), need)
+        assert dict(zip(found.tolist(), n.tolist(), strict=True)) == want
+        assert jaccard.merge_skip(own, need) == want
+
+
+def test_jaccard_odd(spark):
+    df = odd(spark)
+    rows = [tuple(r) for r in df.select("doc_id", "text").collect()]
+    got = [tuple(r) for r in jaccard.jaccard_join(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == near_pairs(rows)
+    kept = jaccard.keep_one(df)
+    assert kept.columns == df.columns
+    out = kept.select("doc_id", "text").collect()
+    texts = collections.Counter(r["text"] for r in out)
+    assert texts["one"] == 1 and texts["the cat sat on the mat and the dog"] == 1 and texts[None] == texts[""] == texts["   "] == 1
+    assert jaccard.jaccard_join(odd(spark, True)).count() == jaccard.keep_one(odd(spark, True)).count() == 0
+
+
+def test_keep_one(spark):
+    rows = crowd(8)
+    team = {i: i for i, _ in rows}
+
+    def root(i):
+        while team[i] != i:
+            i = team[i]
+        return i
+
+    for a, b, _ in near_pairs(rows):
+        team[max(root(a), root(b))] = min(root(a), root(b))
+    got = jaccard.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted({root(i) for i, _ in rows})
+
+
+def test_components(spark):
+    r = random.Random(2)
+    edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(25)]
+    label = {n: n for e in edges for n in e}
+    for _ in range(80):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    alone = {n for n in label if all(a == b for a, b in edges if n in (a, b))}
+    got = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {n: v for n, v in label.items() if n not in alone}
+    assert components.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+# -- 5
+
+
+def test_vectors_brute(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    base = r.normal(size=(60, 8))
+    x = np.concatenate([base, base[:30] + r.normal(0, 0.05, (30, 8)), np.repeat(base[:1], 25, 0)])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    want = {(i, j) for i in range(len(u)) for j in range(i + 1, len(u)) if np.linalg.norm(u[i] - u[j]) <= 0.4}
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    for cell in (8, 4000):  # many small cells at several levels; one cell
+        got = [(p["vec_a"], p["vec_b"]) for p in vectors.near_vectors(df, 0.4, cell).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_vectors_odd(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [2.0, 0.0]), (2, None), (3, []), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [1.0, 0.0, 0.0]), (8, [0.0, 1.0])]
+    df = spark.createDataFrame([(*r, "a", "b") for r in rows], "vec_id bigint, embedding array<float>, path string, row string")
+    got = sorted(((r["vec_a"], r["vec_b"], r["distance"]) for r in vectors.near_vectors(df).collect()), key=repr)
+    assert got == sorted([(1, 1, 0.0), (None, 1, 0.0), (None, 1, 0.0)], key=repr)
+    assert vectors.near_vectors(df.limit(0)).count() == 0
+
+
+# -- 6
+
+
+def test_katz_normalised(spark):
+    """Every history's probabilities sum to one: what the table gives, backing off for all other words, and the unknown word."""
+    r = random.Random(6)
+    words = ["a", "b", "c", "d", "e", "f", "g", "h"]
+    rows = [(i, " ".join(r.choices(words, [40, 20, 12, 6, 3, 2, 1, 1], k=r.randint(1, 12)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    table = katz.counts(df, 0).collect()
+    uni = {x["w"]: x["c"] for x in table if x["kind"] == 1}
+    stat = {(x["kind"], x["h"]): x["c"] for x in table if x["kind"] > 2}
+    d1, d2 = (katz.discounts([stat.get((k, i), 0) for i in range(1, katz.K + 2)], k == 4) for k in (3, 4))
+    total, seen = stat[5, 0], collections.Counter()
+    seqs = [["<s>", *t.split(), "</s>"] for _, t in rows]
+    count = collections.Counter(w for s in seqs for w in s[1:])
+    pairs = collections.Counter(p for s in seqs for p in itertools.pairwise(s))
+    assert sorted(uni.values()) == sorted(c for c in count.values() if c > 1)
+    assert sorted(x["c"] for x in table if x["kind"] == 2) == sorted(c for c in pairs.values() if c > 1)
+    disc = lambda c, d: d[c - 1] * c if c <= katz.K else float(c)
+    p = {w: disc(c, d1) / total for w, c in count.items()}
+    for (h, _), c in pairs.items():
+        seen[h] += c
+    score = {}
+    for h, n in seen.items():
+        own = {w: disc(c, d2) for (g, w), c in pairs.items() if g == h and c > 1}
+        of = n + 1 if own and sum(own.values()) > n - 1e-9 else n
+        alpha = (1 - sum(own.values()) / of) / (1 - sum(p[w] for w in own))
+        assert abs(sum(own.values()) / of + alpha * (1 - sum(p[w] for w in own)) - 1) < 1e-12
+        score |= {(h, w): math.log(own[w] / of) if w in own else math.log(alpha * p[w]) for w in p}
+    want = {i: round(sum(score[x] for x in itertools.pairwise(s)), 3) for (i, _), s in zip(rows, seqs, strict=True)}
+    got = {x["doc_id"]: x["logprob"] for x in katz.katz_scores(df).collect()}
+    assert all(abs(got[i] - want[i]) < 2e-3 for i in want)
+
+
+def test_katz_many_ranges(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    a = {r["doc_id"]: r["logprob"] for r in katz.katz_scores(docs).collect()}
+    monkeypatch.setattr(katz, "RANGE", 5_000)
+    monkeypatch.setattr(katz, "FREQUENT", 50)
+    b = {r["doc_id"]: r["logprob"] for r in katz.katz_scores(docs.repartition(3)).collect()}
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 2e-3 for k in a)
+
+
+def test_katz_odd(spark):
+    got = katz.katz_scores(odd(spark)).collect()
+    assert len(got) == len(TEXTS) + 1
+    by = {r["doc_id"]: r for r in got}
+    assert by[0]["n_tokens"] is None and by[1]["n_tokens"] == 0 and by[1]["logprob"] is None
+    assert by[9]["n_tokens"] == 300_000 and by[9]["logprob"] < 0
+    assert katz.katz_scores(odd(spark, True)).count() == 0
+
+
+# -- 7
+
+
+def test_guesses_brute():
+    """The dynamic programme against all segmentations."""
+
+    def brute(value):
+        each = secrets.alphabet(value)
+        at = collections.defaultdict(list)
+        for i, j, _, c in secrets.segments(value):
+            at[i].append((j, c))
+
+        def rest(i):
+            return 0.0 if i == len(value) else min([each + rest(i + 1)] + [c + rest(j) for j, c in at[i]])
+
+        return rest(0)
+
+    for v in ("password1", "qwerty12", "aaaa1999", "p4ssw0rd", "abcabcabc", "2024-01-01", "xK9$m", "İstanbul", "zxcvbn"):
+        cost, segments = secrets.guess_cost(v)
+        assert abs(cost - brute(v)) < 1e-9
+        assert sum(int(b - a) for a, b, _ in segments) == len(v)
+
+
+def test_secret_order():
+    costs = [secrets.guess_cost(v)[0] for v in ("password", "qwertyuiop", "20240101", "aaaaaaaaaaaa", "Tr0ub4dour&3xQ9z!", "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY")]
+    assert all(c < secrets.MIN_GUESSES for c in costs[:4]) and all(c >= secrets.MIN_GUESSES for c in costs[4:])
+
+
+def test_secrets_odd(spark):
+    df = odd(spark)
+    got = secrets.secret_scan(df).collect()
+    assert [(r["doc_id"], r["secret"]) for r in got] == [(11, True)]
+    out = secrets.redact_secrets(df)
+    assert out.columns == df.columns and out.count() == len(TEXTS) + 1
+    assert [r["text"] for r in out.filter("doc_id = 11").collect()] == [f"password: {secrets.MASK}"]
+    assert out.filter("text is null").count() == 1
+    assert secrets.secret_scan(odd(spark, True)).count() == 0
+
+
+# -- 8
+
+
+def test_links_brute(spark):
+    pages = [(1, "https://a.org/x", '<a href="https://b.org/1">b</a> <a href="//b.org/2">'), (2, "https://b.org/", '<a href="http://c.org">'), (3, "https://bad.org/", "none"), (4, "https://d.org/", '<a href="https://bad.org/"> <a href="https://c.org">'), (5, None, "x"), (6, "https://e.org/q", None), (6, "https://e.org/q", None), (7, "not a url", '<a href="https://a.org">')]
+    df = spark.createDataFrame([(*p, "t", 1.0) for p in pages], "page_id bigint, url string, html string, host string, trust double")
+    edges = {("a.org", "b.org"): 2, ("b.org", "c.org"): 1, ("d.org", "bad.org"): 1, ("d.org", "c.org"): 1}
+
+    def rank(edges, seeds):
+        out = collections.Counter()
+        for (a, _), w in edges.items():
+            out[a] += w
+        r = {s: 1 / len(seeds) for s in seeds}
+        for _ in range(links.ROUNDS):
+            new = collections.Counter({s: (1 - links.DAMPING) / len(seeds) for s in seeds})
+            for (a, b), w in edges.items():
+                new[b] += links.DAMPING * r.get(a, 0) * w / out[a]
+            r = new
+        t = sum(r.values())
+        return {h: v / t for h, v in r.items()}
+
+    trust, bad = rank(edges, ["a.org"]), rank({(b, a): w for (a, b), w in edges.items()}, ["bad.org"])
+    got = {r["page_id"]: r for r in links.url_filter(df, ("a.org",), ("bad.org",)).collect()}
+    for r in got.values():
+        if r["host"]:
+            assert abs(r["trust"] - trust.get(r["host"], 0)) < 1e-8 and abs(r["distrust"] - bad.get(r["host"], 0)) < 1e-8
+    assert {k for k, r in got.items() if not r["keep"]} == {3, 4, 5, 7}
+    assert links.url_filter(df, ("a.org",), ("bad.org",)).count() == len(pages)
+    assert links.url_filter(df.limit(0)).count() == 0
+
+
+# -- 9
+
+
+def test_bpe_against_library(spark):
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(f"{bpe.FOLDER}/{bpe.VOCABULARY}", "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=bpe.pattern(), mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(9)
+    texts = [x["text"] for x in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    texts += ["", "a" * 3000, "日本語😀" * 50, "\n\n \t x", *("".join(r.choices("abeinrst é1,", k=r.randint(1, 200))) for _ in range(200))]
+    e = bpe.Encoder()
+    got = e.encode(texts)
+    assert [g.tolist() for g in got] == [enc.encode_ordinary(t) for t in texts]
+    assert [e.decode(g) for g in got] == texts
+
+
+def test_bpe_brute():
+    """Both trees against merging the leftmost lowest pair again and again."""
+    v = bpe.Vocabulary()
+    r = random.Random(3)
+    pieces = ["".join(r.choices("ethan irs", k=r.randint(1, 90))).encode() for _ in range(150)]
+
+    def brute(piece):
+        ids = v.start[np.frombuffer(piece, np.uint8)].tolist()
+        while True:
+            found = [(v.rank[a << 32 | b], i) for i, (a, b) in enumerate(itertools.pairwise(ids)) if a << 32 | b in v.rank]
+            if not found:
+                return ids
+            rank, i = min(found)
+            ids[i : i + 2] = [rank]
+
+    want = [brute(p) for p in pieces]
+    assert [x.tolist() for x in bpe.encode_pieces(pieces, v)] == want
+    assert [bpe.encode_piece(p, v) for p in pieces] == want
+
+
+def test_bpe_odd(spark):
+    got = bpe.encode(odd(spark))
+    assert got.count() == len(TEXTS) + 1
+    assert {r["round_trip"] for r in got.filter("doc_id <> 0 or doc_id is null").collect()} == {True}
+    assert [tuple(r) for r in got.filter("doc_id = 0").collect()] == [(0, None, None, None)]
+    back = sorted((r["text"] for r in bpe.decode(got).collect()), key=repr)
+    assert back == sorted((r["text"] for r in odd(spark).collect()), key=repr)
+    assert bpe.decode(spark.createDataFrame([(1, [10**6]), (2, [None])], "doc_id bigint, ids array<int>")).filter("text is not null").count() == 0
+    assert bpe.encode(odd(spark, True)).count() == 0
+
+
+# -- 10
+
+
+def cut_lines(docs):
+    """Text of each row without later occurrences."""
+    split = [None if t is None else t.split("\n") for _, t in docs]
+    places = collections.defaultdict(set)
+    full = []
+    for (i, t), own in zip(docs, split, strict=True):
+        k = [x.strip(" \t\r\f") for x in own or [] if x.strip(" \t\r\f")]
+        full.append(k)
+        for n in range(len(k) - 2):
+            places[tuple(k[n : n + 3])].add(((i is not None, i or 0), t, n))
+    out = []
+    for (i, t), own, k in zip(docs, split, full, strict=True):
+        gone = set()
+        for n in range(len(k) - 2):
+            if min(places[tuple(k[n : n + 3])], key=lambda x: x[0::2]) < ((i is not None, i or 0), t, n) and min(places[tuple(k[n : n + 3])], key=lambda x: x[0::2]) != ((i is not None, i or 0), t, n):
+                gone |= {n, n + 1, n + 2}
+        if not gone:
+            out.append(t)
+            continue
+        n, kept = 0, []
+        for x in own:
+            if not x.strip(" \t\r\f"):
+                kept.append(x)
+                continue
+            if n not in gone:
+                kept.append(x)
+            n += 1
+        out.append("\n".join(kept))
+    return out
+
+
+def test_lines_brute(spark):
+    r = random.Random(4)
+    rows = [(i, "\n".join(r.choice(["a", "b", " c", "", "d", "e", "f "]) for _ in range(r.randint(0, 14)))) for i in range(80)] + [(100, None)]
+    got = {x["doc_id"]: x["text"] for x in lines.line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == dict(zip([i for i, _ in rows], cut_lines(rows), strict=True))
+
+
+def test_lines_odd(spark):
+    df = odd(spark)
+    out = lines.dedup_lines(df)
+    assert out.columns == df.columns and out.count() == len(TEXTS) + 1
+    by = {r["doc_id"]: r for r in out.collect()}
+    assert by[8]["text"] == "a\nb\nc\nd" and by[8]["n_chars"] == 7 and by[8]["_gone"] == 8 and by[8]["sig"] == 1.5
+    assert by[0]["text"] is None and by[9]["text"] == LONG
+    assert lines.dedup_lines(odd(spark, True)).count() == 0
