@@ -5,7 +5,8 @@ host points to the named host, weighted by the number of such mentions; links wi
 count.  Trust starts at the trusted hosts and follows the edges (personalised PageRank); distrust
 starts at the blocked hosts and follows them backwards, so that whoever links to a blocked host
 shares its score.  Mass at hosts without further edges returns to the seeds: for personalised
-PageRank that equals dropping it and scaling the scores to a sum of one, which is what is done.
+PageRank that equals dropping it and scaling the scores to a sum of one, which is what is done.  Rounds
+go on until the scores stand still to within ``TOLERANCE``, so chains and circles of any length count.
 
 Defined results: a host is rejected when it is a blocked seed, or its distrust is at least
 ``MIN_DISTRUST`` and above ``RATIO`` times its trust; hosts that neither reaches are kept; pages with a
@@ -15,6 +16,8 @@ rows count twice as mentions and give a row each; an empty table gives no rows;
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +26,10 @@ from ._util import drop_scratch, scratch
 TRUSTED = ("tionsh.example.net", "blog.tionble.example.com", "m.tiontion.example.com")
 BLOCKED = ("mail1.example.com", "mail7.example.com")
 DAMPING = 0.85
+#: Of the SQL, which can't loop: exact where no chain of links is longer.
 ROUNDS = 12
+#: The propagation ends when STEP rounds have changed the scores by no more than this in sum; all later rounds would change about as much again.
+TOLERANCE, STEP = 1e-10, 4
 RATIO = 1.0
 MIN_DISTRUST = 1e-4
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
@@ -37,7 +43,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return pages.select(host.alias("src"), F.explode(links).alias("dst")).filter("src <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w"))
 
 
-def host_scores(pages: DataFrame, trusted: tuple = TRUSTED, blocked: tuple = BLOCKED, rounds: int = ROUNDS) -> DataFrame:
+def host_scores(pages: DataFrame, trusted: tuple = TRUSTED, blocked: tuple = BLOCKED, tolerance: float = TOLERANCE) -> DataFrame:
     """host, trust, distrust of every host that either seeds reach.  Both propagations run as one: kind 0 forwards, kind 1 backwards."""
     spark = pages.sparkSession
     e = scratch(host_edges(pages), "edges")
@@ -46,24 +52,27 @@ def host_scores(pages: DataFrame, trusted: tuple = TRUSTED, blocked: tuple = BLO
     both = scratch(both.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("w") / F.col("total")).alias("share")), "shares")
     rows = [(k, h, 1.0 / len(set(s))) for k, s in enumerate((trusted, blocked)) for h in sorted(set(s))]
     seeds = spark.createDataFrame(rows, "kind int, host string, r double")
-    rank, made = seeds, []
-    for i in range(rounds):
+    rank = last = seeds
+    for i in itertools.count(1):
         at = rank.select(F.col("kind").alias("k"), F.col("host").alias("h"), "r")
         moved = both.join(at, (F.col("kind") == F.col("k")) & (F.col("src") == F.col("h"))).select("kind", F.col("dst").alias("host"), (F.col("share") * F.col("r") * DAMPING).alias("r"))
         rank = moved.union(seeds.select("kind", "host", F.col("r") * (1 - DAMPING))).groupBy("kind", "host").agg(F.sum("r").alias("r"))
-        if i % 4 == 3 or i == rounds - 1:
+        if i % STEP == 0:
             rank = scratch(rank, "rank")
-            made.append(rank)
-    for old in made[:-1]:
-        drop_scratch(old)
+            change = rank.union(last.select("kind", "host", -F.col("r"))).groupBy("kind", "host").agg(F.sum("r").alias("r")).agg(F.sum(F.abs("r"))).first()[0]
+            if last is not seeds:
+                drop_scratch(last)
+            if (change or 0.0) <= tolerance:
+                break
+            last = rank
     total = {r["kind"]: r["t"] for r in rank.groupBy("kind").agg(F.sum("r").alias("t")).collect()}
     part = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("r"))), F.lit(0.0)) / F.lit(total.get(k) or 1.0)
     return rank.groupBy("host").agg(part(0).alias("trust"), part(1).alias("distrust"))
 
 
-def url_filter(pages: DataFrame, trusted: tuple = TRUSTED, blocked: tuple = BLOCKED, rounds: int = ROUNDS) -> DataFrame:
+def url_filter(pages: DataFrame, trusted: tuple = TRUSTED, blocked: tuple = BLOCKED, tolerance: float = TOLERANCE) -> DataFrame:
     """page_id, host, trust, distrust, keep for every page."""
-    scores = host_scores(pages.select("url", "html"), trusted, blocked, rounds)
+    scores = host_scores(pages.select("url", "html"), trusted, blocked, tolerance)
     host = F.regexp_extract(F.lower("url"), HOST, 1)
     own = pages.select("page_id", F.when(host != "", host).alias("host"))
     df = own.join(scores, "host", "left").withColumns({c: F.round(F.coalesce(F.col(c), F.lit(0.0)), 9) for c in ("trust", "distrust")})

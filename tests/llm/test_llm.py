@@ -385,6 +385,15 @@ def test_links_brute(spark):
     assert links.url_filter(df.limit(0)).count() == 0
 
 
+def test_links_far(spark):
+    """A chain longer than ROUNDS against its closed form."""
+    n, d = 14, links.DAMPING
+    pages = [(i, f"https://h{i}.org/", f'<a href="https://h{i - 1}.org/">') for i in range(1, n + 1)]
+    got = {r["page_id"]: r for r in links.url_filter(spark.createDataFrame(pages, "page_id bigint, url string, html string"), ("a.org",), ("h0.org",)).collect()}
+    for i in range(1, n + 1):
+        assert abs(got[i]["distrust"] - (1 - d) * d**i / (1 - d ** (n + 1))) < 2e-9 and not got[i]["keep"]
+
+
 # -- 9
 
 
