@@ -3,14 +3,18 @@
 Each document has two histograms: six character classes (lower case, upper case, digits, white
 space, sentence punctuation, all else) and the common words of its language beside all other words.
 The reference of a language is the sum of the histograms of its documents: first of all of them, then
-once more without those that are far from that first reference.  A document is
+once more without those that are far from that first reference, if any are left.  Each value of lang
+has its own reference, on its own list of common words or on a mixed one.  A document without a
+language is judged by the nearest of all references; where a language of the lists has no labelled
+documents, its reference is that of the unlabelled ones with most of its words.  A document is
 rejected when the Jensen-Shannon distance (base 2, 0 to 1) of either histogram from the reference
 is above a limit.  The limit falls with length, since short texts stray by chance, and texts under
 a minimum length aren't judged.
 
 Defined results: null text and text without any visible character are rejected as ``empty``; texts
-under the minimum are kept as ``short``; a null or unknown language is held against the reference
-of all such documents; repeated rows get the same verdict each; an empty table gives no rows; other
+under the minimum are kept as ``short``; null, blank and ``UNKNOWN`` are no
+language, and without one, texts mostly in letters other than Latin, or with no reference at all, aren't
+judged (no unlabelled text tells the norm of its script); repeated rows get the same verdict each; an empty table gives no rows; other
 columns of the input, whatever their names, are neither read nor harmed.
 """
 
@@ -29,6 +33,8 @@ COMMON = {
     "es": "de la que el en y los se del las un por".split(),
     "und": "the de der of la die and le und to en que".split(),
 }
+LISTS = sorted(COMMON)
+UNKNOWN = ("", "und", "unknown")
 SLOTS = len(COMMON["und"])
 CLASSES = {"lower": r"\p{Ll}+", "upper": r"\p{Lu}+", "digit": r"\p{Nd}+", "space": r"[ \t\n\r\f]+", "stop": r"[.,;:?'\"()-]+"}
 CHAR_COLS = [f"c{i}" for i in range(len(CLASSES) + 1)]
@@ -71,49 +77,82 @@ def js_distance(own: Column, ref: Column) -> Column:
 
 
 def language(lang: Column) -> Column:
-    return F.when(lang.isin([k for k in COMMON if k != "und"]), lang).otherwise("und")
+    """Null for none."""
+    return F.when(~F.lower(F.trim(lang)).isin(list(UNKNOWN)), lang)
 
 
 def with_histograms(docs: DataFrame) -> DataFrame:
-    """Four columns beside the given ones: ``_qr_lang``, ``_qr_n`` (code points), ``_qr_c`` (character classes), ``_qr_w`` (common words, then all others)."""
+    """Columns beside the given ones: ``_qr_lang``, ``_qr_n`` (code points), ``_qr_c`` (character classes), ``_qr_w`` (common words, then all others), ``_qr_m`` (words).
+
+    Without a language, ``_qr_all`` has the word histograms of all LISTS, ``_qr_lang`` is the one with most common words, null without any, and ``_qr_latin`` tells whether most letters are Latin."""
     t = F.coalesce(F.col("text"), F.lit(""))
     n = F.length(t)
-    counts = F.array(*((n - F.length(F.regexp_replace(t, rx, ""))).cast("bigint") for rx in CLASSES.values()))
+    without = lambda x, rx: F.length(F.regexp_replace(x, rx, ""))
+    counts = F.array(*((n - without(t, rx)).cast("bigint") for rx in CLASSES.values()))
     words = F.trim(F.regexp_replace(F.lower(t), r"[^\p{L}]+", "  "))
-    df = docs.withColumns({"_qr_lang": language(F.col("lang")), "_qr_n": n.cast("bigint"), "_qr_k": counts, "_qr_t": F.concat(F.lit(" "), words, F.lit(" "))})
-    inner = F.col("_qr_t")
-    listed = F.lit(COMMON["und"])
+    df = docs.withColumns({"_qr_own": language(F.col("lang")), "_qr_n": n.cast("bigint"), "_qr_k": counts, "_qr_t": F.concat(F.lit(" "), words, F.lit(" "))})
+    inner, none = F.col("_qr_t"), F.col("_qr_own").isNull()
+    listed = F.when(none, F.lit([w for name in LISTS for w in COMMON[name]])).otherwise(F.lit(COMMON["und"]))
     for name, own in COMMON.items():
         if name != "und":
-            listed = F.when(F.col("_qr_lang") == name, F.lit(own)).otherwise(listed)
+            listed = F.when(F.col("_qr_own") == name, F.lit(own)).otherwise(listed)
     slots = F.transform(listed, lambda w: ((F.length(inner) - F.length(F.replace(inner, F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.length(w) + 2)).cast("bigint"))
     total = F.when(F.length(inner) <= 2, 0).otherwise((F.length(inner) - F.length(F.replace(inner, F.lit("  "), F.lit("")))) / 2 + 1).cast("bigint")
-    df = df.withColumns({"_qr_s": slots, "_qr_m": total})
-    rest = lambda a, n: F.array_append(F.col(a), F.col(n) - F.aggregate(F.col(a), F.lit(0).cast("bigint"), lambda s, x: s + x))
-    return df.withColumns({"_qr_c": rest("_qr_k", "_qr_n"), "_qr_w": rest("_qr_s", "_qr_m")}).drop("_qr_k", "_qr_t", "_qr_s", "_qr_m")
+    latin = F.when(none, 2 * (F.length(inner) - without(inner, r"\p{IsLatin}+")) >= F.length(inner) - without(inner, r"\p{L}+"))
+    df = df.withColumns({"_qr_s": slots, "_qr_m": total, "_qr_latin": latin})
+    held = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda s, x: s + x)
+    rest = lambda a, n: F.array_append(a, F.col(n) - held(a))
+    part = {name: F.slice("_qr_s", 1 + i * SLOTS, SLOTS) for i, name in enumerate(LISTS)}
+    most = F.array_max(F.array(*(F.struct(held(part[name]).alias("n"), F.lit(-i).alias("i")) for i, name in enumerate(LISTS) if name != "und")))
+    df = df.withColumns({"_qr_c": rest(F.col("_qr_k"), "_qr_n"), "_qr_all": F.when(none, F.array(*(rest(part[name], "_qr_m") for name in LISTS))), "_qr_most": F.when(none, most)})
+    guess = F.when(F.col("_qr_most.n") > 0, -F.col("_qr_most.i"))
+    lang = F.when(none, F.get(F.lit(LISTS), guess)).otherwise(F.col("_qr_own"))
+    return df.withColumns({"_qr_lang": lang, "_qr_w": F.when(none, F.get(F.col("_qr_all"), guess)).otherwise(rest(F.col("_qr_s"), "_qr_m"))}).drop("_qr_own", "_qr_k", "_qr_t", "_qr_s", "_qr_most")
+
+
+def _summed(h: DataFrame) -> dict[tuple[str, bool], tuple[list[int], list[int]]]:
+    """By language, and whether its documents are labelled with it; a row for each of these reaches the driver."""
+    sums = [F.sum(F.get(F.col(a), F.lit(i))).alias(f"{a}{i}") for a, k in (("_qr_c", len(CHAR_COLS)), ("_qr_w", len(WORD_COLS))) for i in range(k)]
+    rows = h.filter("_qr_lang is not null").groupBy("_qr_lang", F.col("_qr_all").isNull().alias("_qr_known")).agg(*sums).collect()
+    return {(r["_qr_lang"], r["_qr_known"]): ([r[f"_qr_c{i}"] for i in range(len(CHAR_COLS))], [r[f"_qr_w{i}"] for i in range(len(WORD_COLS))]) for r in rows}
 
 
-def _summed(h: DataFrame) -> dict[str, tuple[list[int], list[int]]]:
-    """At most one row for each key of COMMON reaches the driver."""
-    sums = [F.sum(F.get(F.col(a), F.lit(i))).alias(f"{a}{i}") for a, k in (("_qr_c", len(CHAR_COLS)), ("_qr_w", len(WORD_COLS))) for i in range(k)]
-    return {r["_qr_lang"]: ([r[f"_qr_c{i}"] for i in range(len(CHAR_COLS))], [r[f"_qr_w{i}"] for i in range(len(WORD_COLS))]) for r in h.groupBy("_qr_lang").agg(*sums).collect()}
+def _literal(counts: list[int]) -> Column:
+    return F.array(*(F.lit(int(x)).cast("bigint") for x in counts))
 
 
-def _literal(refs: dict, i: int, width: int) -> Column:
-    of = F.array(*[F.lit(0).cast("bigint")] * width)
-    for lang in sorted(refs):
-        of = F.when(F.col("_qr_lang") == lang, F.array(*(F.lit(int(x)).cast("bigint") for x in refs[lang][i]))).otherwise(of)
-    return of
+def _of(refs: dict, i: int) -> Column:
+    """Of the document's language; empty where that has none."""
+    none = F.array().cast("array<bigint>")
+    if not refs:
+        return none
+    return F.coalesce(F.element_at(F.create_map(*(x for k, v in sorted(refs.items()) for x in (F.lit(k), _literal(v[i])))), F.col("_qr_lang")), none)
 
 
 def _distances(h: DataFrame, refs: dict) -> DataFrame:
-    return h.withColumns({"_qr_dc": F.round(js_distance(F.col("_qr_c"), _literal(refs, 0, len(CHAR_COLS))), 6), "_qr_dw": F.round(js_distance(F.col("_qr_w"), _literal(refs, 1, len(WORD_COLS))), 6)})
+    """From the reference of the language, labelled or found."""
+    return h.withColumns({f"_qr_d{c}": F.round(js_distance(F.col(f"_qr_{c}"), _of(refs, i)), 6) for i, c in enumerate("cw")})
 
 
 def references(h: DataFrame) -> dict[str, tuple[list[int], list[int]]]:
     """By language, from a table of histograms: first of all documents, then of those that aren't far from that first reference, so that junk doesn't shape what it is measured against."""
     first = _summed(h)
-    return _summed(_distances(h, first).filter((F.col("_qr_dc") <= TRIM_CHAR) & (F.col("_qr_dw") <= TRIM_WORD)))
+    refs = {k: v for (k, known), v in first.items() if known or (k, True) not in first}
+    trimmed = _summed(_distances(h, refs).filter((F.col("_qr_dc") <= TRIM_CHAR) & (F.col("_qr_dw") <= TRIM_WORD)))
+    return refs | {k: v for (k, known), v in trimmed.items() if known or (k, True) not in first}
+
+
+def _judged(h: DataFrame, refs: dict) -> DataFrame:
+    """Distances of a document with a language from that one's reference, of another from the nearest."""
+    df = _distances(h, refs)
+    near = F.lit(None).cast("struct<d:double,c:double,w:double>")
+    if refs:
+        all_refs = F.array(*(F.struct(_literal(c).alias("c"), _literal(w).alias("w"), F.lit(LISTS.index(k if k in COMMON else "und")).alias("i")) for k, (c, w) in sorted(refs.items())))
+        each = F.transform(all_refs, lambda r: F.struct(F.round(js_distance(F.col("_qr_c"), r["c"]), 6).alias("c"), F.round(js_distance(F.get(F.col("_qr_all"), r["i"]), r["w"]), 6).alias("w")))
+        near = F.array_min(F.transform(each, lambda x: F.struct((x["c"] + x["w"]).alias("d"), x["c"].alias("c"), x["w"].alias("w"))))
+    none = F.col("_qr_all").isNotNull()
+    df = df.withColumn("_qr_near", F.when(none, near))
+    return df.withColumns({f"_qr_d{c}": F.when(none, F.col(f"_qr_near.{c}")).otherwise(F.col(f"_qr_d{c}")) for c in "cw"}).drop("_qr_near")
 
 
 def histograms(docs: DataFrame) -> DataFrame:
@@ -123,16 +162,16 @@ def histograms(docs: DataFrame) -> DataFrame:
 
 def _reason(h: DataFrame, refs: dict) -> DataFrame:
     """Adds _qr_reason, _qr_dc, _qr_dw."""
-    words = F.aggregate(F.col("_qr_w"), F.lit(0).cast("bigint"), lambda s, x: s + x)
     n = F.col("_qr_n")
+    judged = F.coalesce(F.col("_qr_latin"), F.lit(True))
     reason = (
         F.when(n - F.get(F.col("_qr_c"), F.lit(3)) <= 0, "empty")
-        .when((n >= MIN_CHARS) & (F.col("_qr_dc") > CHAR_LIMIT + CHAR_SLACK / F.sqrt(n)), "characters")
-        .when((F.col("_qr_m") >= MIN_WORDS) & (F.col("_qr_dw") > WORD_LIMIT + WORD_SLACK / F.sqrt(F.col("_qr_m"))), "words")
+        .when(judged & (n >= MIN_CHARS) & (F.col("_qr_dc") > CHAR_LIMIT + CHAR_SLACK / F.sqrt(n)), "characters")
+        .when(judged & (F.col("_qr_m") >= MIN_WORDS) & (F.col("_qr_dw") > WORD_LIMIT + WORD_SLACK / F.sqrt(F.col("_qr_m"))), "words")
         .when((n < MIN_CHARS) & (F.col("_qr_m") < MIN_WORDS), "short")
         .otherwise("ok")
     )
-    return _distances(h.withColumn("_qr_m", words), refs).withColumn("_qr_reason", reason)
+    return _judged(h, refs).withColumn("_qr_reason", reason)
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -157,6 +196,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
 
 def _sql() -> str:
+    """For tables whose languages are those of COMMON's lists, as the given ones."""
     case = lambda k: "case lang " + " ".join(f"when '{n}' then ' {w[k]} '" for n, w in COMMON.items() if n != "und") + f" else ' {COMMON['und'][k]} ' end"
     quote = lambda rx: rx.replace("'", "''")
     count = ", ".join(f"cast(length(t) - length(regexp_replace(t, '{quote(rx)}', '', 'g')) as bigint) as {k}" for k, rx in zip(CHAR_COLS, CLASSES.values(), strict=False))

@@ -135,6 +135,21 @@ def test_rules_odd(spark):
     assert rules.quality_rules(odd(spark, True)).count() == rules.keep_good(odd(spark, True)).count() == 0
 
 
+def test_rules_languages(spark):
+    """Clean documents stay, whether their language is null, or has no list of its own."""
+    from pyspark.sql import functions as F
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    clean = docs.join(labels.filter("quality = 1 and toxic = 0"), "doc_id", "left_semi").select("doc_id", "text", "lang").coalesce(2).cache()
+    n = clean.count()
+    assert rules.quality_rules(clean.withColumn("lang", F.lit(None).cast("string"))).filter("not keep").count() < 0.03 * n
+    few = clean.withColumn("lang", F.when(F.col("lang") == "fr", "xf").when(F.col("lang") == "es", "xs").otherwise(F.col("lang")))
+    few = few.union(spark.createDataFrame([(10**6 + i, "\u0421\u044a\u0435\u0448\u044c \u0435\u0449\u0451 \u044d\u0442\u0438\u0445 " * 20, lang) for i, lang in enumerate(("ru", None))], "doc_id bigint, text string, lang string"))
+    bad = rules.quality_rules(few).filter("not keep").collect()
+    assert len(bad) < 0.03 * n and not [r for r in bad if r["doc_id"] >= 10**6]
+    clean.unpersist()
+
+
 # -- 4
 
 
