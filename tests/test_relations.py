@@ -22,6 +22,23 @@ def test_catalog_without_sql(spark, name):
     assert df.columns and df.count() >= 0
 
 
+def test_dollar_spacing_cjk(spark, tmp_path):
+    """Every document is there, and its text as two plain rules make it."""
+    texts = ["中$x$文", "价格$5$，好", "a  $x$  b", "$$块$$", "全角（$y$）", "纯中文****", "none", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    cjk = lambda c: any(a <= c <= b for a, b in ("\u4e00\u9fff", "\u3000\u303f", "\uff00\uffef"))
+
+    def spaced(t):
+        while "  $" in t or "$  " in t:
+            t = t.replace("  $", " $").replace("$  ", "$ ")
+        out = "".join(c + " " if cjk(c) and t[i + 1 : i + 2] == "$" and t[i + 2 : i + 3] != "$" else c for i, c in enumerate(t))
+        return "".join(c + " " if c == "$" and out[i - 1 : i] != "$" and i + 1 < len(out) and cjk(out[i + 1]) else c for i, c in enumerate(out)).replace("****", "")
+
+    got = {r["doc_id"]: r["text"] for r in catalog.queries()["p2_dollar_spacing"](spark, str(tmp_path)).collect()}
+    assert got == {i: None if t is None else spaced(t) for i, t in enumerate(texts)}
+    assert got[0] == "中 $x$ 文"
+
+
 def test_report(spark):
     jobs = spark.createDataFrame([("f1", "h1", "x"), ("f2", "h2", "y")], "source_id string, dom_hash string, latex string")
     good = {"schema_version": "1.1", "katex_version": "0.16.9", "runtime_loaded": True, "completed": True, "total": 2, "passed": 2, "failures": [], "items": [{"source_id": "f1", "dom_hash": "h1", "latex": "x"}, {"source_id": "f2", "dom_hash": "h2", "latex": "y"}]}
