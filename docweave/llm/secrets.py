@@ -1,7 +1,9 @@
 """Secret scan: how many guesses would a value in a credential context need?
 
-A context is a credential word followed by ``:`` or ``=`` and a value (``password=...``), a bearer
-header, or an access key id.  The value is cut into words, dates, repeats, keyboard walks and
+A context is an identifier with a credential word as one of its parts, followed by ``:`` or ``=`` and a
+value (``password=...``, ``"accessToken": ...``, ``secret_key_id = ...``, ``API key: ...``), a bearer
+header, or an access key id.  Parts end at a change from small to capital letters, a digit, dash, dot or
+underscore, or a blank between words that belong together.  The value is cut into words, dates, repeats, keyboard walks and
 brute-force spans so that the sum of the logarithms of their guesses is least; a dynamic programme
 over the ends of segments finds it.  Values above ``MIN_GUESSES`` are secrets, the others (``changeme``,
 ``2024-01-01``) are reported as weak and left alone.
@@ -27,12 +29,15 @@ MIN_GUESSES = 8.0
 MASK = "[SECRET]"
 #: Every context holds one of these; texts without them needn't leave the JVM.
 HINT = r"[:=]|AKIA|[Bb][Ee][Aa][Rr][Ee][Rr]"
+#: Where a part of an identifier begins and ends; compiled with case, since it tells the parts.
+BEGIN = r"(?:(?<![A-Za-z0-9])|(?<=[a-z0-9])(?=[A-Z])|(?<=[0-9])|(?<=[A-Z])(?=[A-Z][a-z]))"
+END = r"(?:(?![A-Za-z0-9])|(?<=[a-z])(?=[A-Z])|(?=[0-9]))"
 CONTEXT = re.compile(
-    r"(?<![A-Za-z0-9])(?P<word>password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth[_-]?key|credentials?)[\"']?[ \t]*(?:=>|:=|[:=])[ \t]*"
+    rf"(?P<word>(?i:password|passwd|passphrase|api[ _.-]?key)|{BEGIN}(?i:pass[ _.-](?:word|phrase)|pwd|credentials?|(?:access|private|auth|secret)[ _.-]?key|(?:access|auth|bearer|client|refresh|session|user)?(?:secret|token))){END}"
+    r"(?:[A-Za-z0-9_.-]*|[ \t]+(?i:key|value|string|text|id))[\"']?[ \t]*(?:=>|:=|[:=])[ \t]*"
     r"(?:\"(?P<v1>[^\"\n]+)\"|'(?P<v2>[^'\n]+)'|(?P<v3>[^\s\"',;]+))"
-    r"|(?<![A-Za-z0-9])(?P<bearer>bearer)[ \t]+(?P<v4>[A-Za-z0-9._~+/=-]{8,})"
-    r"|(?<![A-Za-z0-9])(?P<v5>AKIA[0-9A-Z]{16})(?![A-Za-z0-9])",
-    re.IGNORECASE,
+    r"|(?<![A-Za-z0-9])(?P<bearer>(?i:bearer))[ \t]+(?P<v4>[A-Za-z0-9._~+/=-]{8,})"
+    r"|(?<![A-Za-z0-9])(?P<v5>(?i:AKIA[0-9A-Z]{16}))(?![A-Za-z0-9])"
 )
 #: By rank, as guessers would try them.
 WORDS = (

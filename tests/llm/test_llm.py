@@ -358,6 +358,16 @@ def test_secret_order():
     assert all(c < secrets.MIN_GUESSES for c in costs[:4]) and all(c >= secrets.MIN_GUESSES for c in costs[4:])
 
 
+def test_secret_contexts():
+    v = "Xk9$mQ2vTr77LpZ"
+    for key in ("password", "API_KEY", "token", '"accessToken"', "clientSecret", "dbPassword", "userPassword", "dbpassword", "secretKey", "secret_key", "token_value", "API key", "private key", "Access Key", "myapp.auth-token", "AWS_SECRET_ACCESS_KEY", "GITHUBToken", "token2", "DBPASSWORD", "pass phrase", "secret key id", "apiKeyProd"):
+        for sign in (": ", "=", " = ", " => "):
+            assert secrets.redact(f"x {key}{sign}{v} y") == f"x {key}{sign}{secrets.MASK} y", key
+    assert secrets.redact(f'{{"accessToken": "{v}", "n": 1}}') == f'{{"accessToken": "{secrets.MASK}", "n": 1}}'
+    for key in ("secretary", "tokens", "tokenizer", "key", "monkey", "compass word", "Credentialing", "a token of thanks to you"):
+        assert secrets.redact(f"x {key}: {v} y") == f"x {key}: {v} y", key
+
+
 def test_secrets_odd(spark):
     df = odd(spark)
     got = secrets.secret_scan(df).collect()
