@@ -2,12 +2,12 @@
 
 Words (lower case), runs of other visible characters and a mark for each run of capitals fall into
 ``BUCKETS`` by hash.  A bucket's vector is a sparse ternary signature plus the scaled sum of the signatures
-of the words near its own (random indexing).  A document is pooled three times: the mean of its vectors,
+of the words near its own in all documents (random indexing).  A document is pooled three times: the mean of its vectors,
 and their sums weighted by how strongly their words speak for quality and for toxicity.  A network with
 one hidden layer gives two logits, quality and toxicity; each is divided by a temperature fitted on
 held-out documents, so that its sigmoid is a calibrated probability.
 
-The model is fitted on at most ``SAMPLE`` labelled documents (those of lowest hash of doc_id), the bound
+Word weights, network and temperatures are fitted on at most ``SAMPLE`` labelled documents (those of lowest hash of doc_id), the bound
 being a parameter; scoring covers every document and its whole text.
 
 Defined results: null, empty and blank texts pool to zeros and get the network's answer to that; without
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._packed import lists, runs
+from ._packed import lists, planes, runs, unplanes
 
 SAMPLE = 4000
 BUCKETS = 1 << 16
@@ -36,6 +36,8 @@ SEED = 20240229
 #: A word's weight counts from this z-score on.
 SURE = 4.0
 CHUNK = 300_000
+#: Tokens whose contexts are summed at once, and buckets that a partial sum's row holds.
+SUMMED, SPAN = 1_000_000, 256
 
 
 def buckets(text: Column) -> Column:
@@ -52,10 +54,9 @@ def signatures() -> tuple[np.ndarray, np.ndarray]:
     return places, r.choice(np.array([-1.0, 1.0], np.float32), (BUCKETS, NONZERO))
 
 
-def word_vectors(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def context_sums(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For every bucket, the sum of the signatures (their signs) near its words."""
     places, signs = signatures()
-    own = np.zeros((BUCKETS, DIM), np.float32)
-    own[np.arange(BUCKETS)[:, None], places] = signs / np.sqrt(NONZERO)
     doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     context = np.zeros(BUCKETS * DIM)
     for off in range(1, NEAR + 1):
@@ -64,11 +65,60 @@ def word_vectors(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         for word, near in ((a, b), (b, a)):
             for k in range(NONZERO):
                 context += np.bincount(word.astype(np.int64) * DIM + places[near, k], signs[near, k], BUCKETS * DIM)
-    context = context.reshape(BUCKETS, DIM)
+    return context.astype(np.int64)
+
+
+def word_vectors(sums: np.ndarray) -> np.ndarray:
+    places, signs = signatures()
+    own = np.zeros((BUCKETS, DIM), np.float32)
+    own[np.arange(BUCKETS)[:, None], places] = signs / np.sqrt(NONZERO)
+    context = sums.reshape(BUCKETS, DIM).astype(np.float64)
     seen = np.sqrt((context * context).sum(1, keepdims=True))
     return own + np.where(seen > 0, context / np.maximum(seen, 1e-9), 0).astype(np.float32)
 
 
+def corpus_sums(docs: DataFrame) -> np.ndarray:
+    """context_sums of all documents: each task's sums go by spans of buckets as byte planes, and one array of BUCKETS x DIM reaches the driver."""
+    schema = pa.schema([("span", pa.int32()), ("sums", pa.binary())])
+
+    def run(batches):
+        total, kept, size = np.zeros(BUCKETS * DIM, np.int64), [], 0
+
+        def add():
+            flat = np.concatenate([f for f, _ in kept])
+            ends = np.cumsum(np.concatenate([[0], *(np.diff(b) for _, b in kept)]))
+            np.add(total, context_sums(flat, ends), out=total)
+            kept.clear()
+
+        for b in batches:
+            flat, bounds = lists(b.column(0))
+            for lo, hi in runs(bounds, SUMMED):
+                kept.append((flat[bounds[lo] : bounds[hi]].copy(), bounds[lo : hi + 1] - bounds[lo]))
+                size += len(kept[-1][0])
+                if size >= SUMMED:
+                    add()
+                    size = 0
+        if kept:
+            add()
+        part = total.reshape(-1, SPAN * DIM)
+        for i in np.nonzero(part.any(1))[0]:
+            # Signs go into the lowest bit, so that small numbers have zero planes.
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([planes((part[i] << 1) ^ (part[i] >> 63))], pa.binary())], schema=schema)
+
+    def added(t: pa.Table) -> pa.Table:
+        total = np.zeros(SPAN * DIM, np.int64)
+        for x in t.column("sums"):
+            z = unplanes(x.as_py(), np.int64)
+            total += (z >> 1) ^ -(z & 1)
+        return pa.table({"span": t.column("span").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    kind = "span int, sums binary"
+    sums = np.zeros((BUCKETS // SPAN, SPAN * DIM), np.int64)
+    for r in docs.select("w").mapInArrow(run, kind).groupBy("span").applyInArrow(added, kind).toArrow().to_pylist():
+        sums[r["span"]] = np.frombuffer(r["sums"], np.int64)
+    return sums.ravel()
+
+
 def word_weights(flat: np.ndarray, bounds: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Log odds of the documents that have a word, 0 where they aren't sure."""
     doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
@@ -150,14 +200,14 @@ def temperature(z: np.ndarray, y: np.ndarray) -> float:
     return float(tried[int(np.argmin(loss))])
 
 
-def fit(flat: np.ndarray, bounds: np.ndarray, y: np.ndarray) -> dict:
-    """y: a row of quality and toxicity for each document."""
+def fit(flat: np.ndarray, bounds: np.ndarray, y: np.ndarray, sums: np.ndarray) -> dict:
+    """sums: of contexts; y: a row of quality and toxicity for each document."""
     held = np.random.default_rng(SEED + 1).random(len(y)) < HELD_OUT
     if held.all() or not held.any():
         held[:] = False
     keep = np.repeat(~held, np.diff(bounds))
     own = np.concatenate([[0], np.cumsum(np.diff(bounds)[~held])])
-    model = {"vectors": word_vectors(flat[keep], own)}
+    model = {"vectors": word_vectors(sums)}
     model["weights"] = [word_weights(flat[keep], own, y[~held, k]) for k in range(y.shape[1])]
     x = pooled(flat, bounds, model["vectors"], model["weights"])
     model["mean"], model["scale"] = x[~held].mean(0), x[~held].std(0) + 1e-3
@@ -175,7 +225,7 @@ def predict(flat: np.ndarray, bounds: np.ndarray, model: dict) -> np.ndarray:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | None:
-    """The model from at most so many labelled documents; only bucket numbers reach the driver."""
+    """The model from at most so many labelled documents, and the contexts of all documents; only bucket numbers and sums reach the driver."""
     y = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_q"), F.coalesce(F.col("toxic").cast("int"), F.lit(0)).alias("_t")).filter("_id is not null and _q is not null")
     y = y.dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     t = docs.join(F.broadcast(y), docs["doc_id"] == y["_id"]).select("_id", "_q", "_t", buckets(F.col("text")).alias("w")).toArrow()
@@ -183,7 +233,7 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | N
         return None
     t = t.combine_chunks().sort_by("_id")
     flat, bounds = lists(t.column("w").combine_chunks() if t.column("w").num_chunks != 1 else t.column("w").chunk(0))
-    return fit(flat, bounds, np.stack([t.column("_q").to_numpy(), t.column("_t").to_numpy()], 1))
+    return fit(flat, bounds, np.stack([t.column("_q").to_numpy(), t.column("_t").to_numpy()], 1), corpus_sums(docs.select(buckets(F.col("text")).alias("w"))))
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

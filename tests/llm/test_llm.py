@@ -52,6 +52,23 @@ def test_quality_odd(spark):
     assert quality.quality_classifier(odd(spark, True), labels).count() == 0
 
 
+def test_quality_contexts(spark):
+    """Context sums cover every document, labelled or not, and are those of a loop over its words."""
+    r = random.Random(7)
+    df = spark.createDataFrame([(i, " ".join(r.choices("a b c d e f g".split(), k=r.randint(0, 9)))) for i in range(40)] + [(99, None)], "doc_id bigint, text string")
+    words = df.repartition(3).select(quality.buckets(df["text"]).alias("w"))
+    places, signs = quality.signatures()
+    want = np.zeros((quality.BUCKETS, quality.DIM))
+    for (w,) in words.collect():
+        for i, j in itertools.permutations(range(len(w)), 2):
+            if abs(i - j) <= quality.NEAR:
+                want[w[i], places[w[j]]] += signs[w[j]]
+    assert (quality.corpus_sums(words).reshape(want.shape) == want).all()
+    # Only document 0 is labelled; the words of the others have contexts in the model nevertheless.
+    vectors = quality.fitted(df, spark.createDataFrame([(0, 1, 0)], "doc_id bigint, quality int, toxic int"))["vectors"]
+    assert (vectors == quality.word_vectors(want)).all()
+
+
 def test_temperature():
     r = np.random.default_rng(0)
     z = r.normal(0, 4, 4000)
