@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,8 +77,6 @@ def side(df: DataFrame) -> DataFrame:
 
 def slices(batches: Iterator, text: str = "text", chars: int = 2_000_000) -> Iterator:
     """Cuts Arrow batches into runs of rows of about so many characters, so that Python objects of one run fit beside the JVM; a text itself is never cut."""
-    import pyarrow.compute as pc
-
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -107,6 +108,30 @@ class Words(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def release() -> None:
+    """Gives memory that a kernel no longer uses back to the machine: a Python worker lives on, and the next stage's JVM needs the room."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of n nodes with edges (a, b), the least that each is linked with, directly or through others."""
+    label = np.arange(n)
+    while True:
+        la, lb = label[a], label[b]
+        least = np.minimum(la, lb)
+        new = label.copy()
+        np.minimum.at(new, la, least)
+        np.minimum.at(new, lb, least)
+        while not np.array_equal(short := new[new], new):
+            new = short
+        if np.array_equal(new, label):
+            return label
+        label = new
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser of 64-bit hashes (wraps around on purpose)."""
     h = h ^ (h >> np.uint64(33))

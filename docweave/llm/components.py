@@ -27,6 +27,8 @@ def components(edges: DataFrame) -> DataFrame:
     Each round ends in a table of the shared folder, so lineage stays short; it stops when a round changes nothing.
     """
     e = scratch(edges.filter("a <> b").select("a", "b").distinct(), "edges")
+    if e.isEmpty():
+        return e.select(F.col("a").alias("node"), F.col("b").alias("label"))
     mark = None
     while True:
         new = scratch(_small(_large(e)), "edges")
