@@ -5,7 +5,10 @@ value (``password=...``, ``"accessToken": ...``, ``secret_key_id = ...``, ``API
 header, or an access key id.  Parts end at a change from small to capital letters, a digit, dash, dot or
 underscore, or a blank between words that belong together.  The value is cut into words, dates, repeats, keyboard walks and
 brute-force spans so that the sum of the logarithms of their guesses is least; a dynamic programme
-over the ends of segments finds it.  Values above ``MIN_GUESSES`` are secrets, the others (``changeme``,
+over the ends of segments finds it.  Words and dates have a bounded length.  A walk or a repeat may be of any
+length, and each of its parts is a segment as well: their cheapest starts are kept as lower envelopes, so
+that a value takes time about linear in its length.  Repeats have a unit of up to ``PERIOD`` characters.
+Values above ``MIN_GUESSES`` are secrets, the others (``changeme``,
 ``2024-01-01``) are reported as weak and left alone.
 
 Defined results: null and empty text have no findings; an empty value is none; values and texts are
@@ -19,6 +22,7 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,7 +32,7 @@ from pyspark.sql import types as T
 MIN_GUESSES = 8.0
 MASK = "[SECRET]"
 #: Every context holds one of these; texts without them needn't leave the JVM.
-HINT = r"[:=]|AKIA|[Bb][Ee][Aa][Rr][Ee][Rr]"
+HINT = r"[:=]|[Aa][Kk][Ii][Aa]|[Bb][Ee][Aa][Rr][Ee][Rr]"
 #: Where a part of an identifier begins and ends; compiled with case, since it tells the parts.
 BEGIN = r"(?:(?<![A-Za-z0-9])|(?<=[a-z0-9])(?=[A-Z])|(?<=[0-9])|(?<=[A-Z])(?=[A-Z][a-z]))"
 END = r"(?:(?![A-Za-z0-9])|(?<=[a-z])(?=[A-Z])|(?=[0-9]))"
@@ -46,10 +50,22 @@ WORDS = (
     "not but what all were when we there can an which their said if do will each about how up out them then she many some so these would other into has more her two like him see "
     "time could no make than first been its who now people over did down only way find use may water long little very after word called just where most know love summer winter "
     "spring autumn january february march april june july august september october november december monday friday sunday server database system service private public access "
-    "account config local prod production staging develop demo temp backup home office company internet computer google amazon"
+    "account config local prod production staging develop demo temp backup home office company internet computer google amazon "
+    "string number boolean integer value values field fields required optional empty unknown undefined missing hidden enter change forgot reset expired expires expire invalid valid "
+    "session client header request response string type name username email address phone file path folder environment variable variables settings setting option options parameter parameters "
+    "argument input output result error message text title content description format method function class object array list item items index length size count total start stop "
+    "begin open close read write update delete create insert select remove add set get put post send receive return call run build deploy release version upgrade install download upload "
+    "connect connection network cloud storage bucket cluster node host port domain proxy cache queue stream event action trigger handler module package library plugin "
+    "encrypted encryption hash hashed signature signed certificate authorization authentication authenticate authorize permission role group member owner manager customer order product price "
+    "please must should never always before again another different same right left first second third next previous current present future today tomorrow yesterday morning evening night "
+    "week month year hour minute good great best better simple easy hard strong weak short small large high full half part whole really every everyone something nothing anything people "
+    "work working world life school family friend friends money book story question answer reason idea example examples information data table line page site link click button view show "
+    "hide display screen mobile device window login logout signin signup register confirm confirmation verify verification generate generated random secure security safe policy rules rule "
+    "minimum maximum least most characters character letter letters digits symbol symbols special lowercase uppercase match matches provided provide using used user users team admin administrator"
 ).split()
-RANK = {w: i + 1 for i, w in enumerate(dict.fromkeys(WORDS))}
+RANK = {w: i + 1 for i, w in enumerate(dict.fromkeys(w for w in WORDS if len(w) > 2))}
 LONGEST = max(map(len, RANK))
+BEGINNINGS = {w[:3] for w in RANK}
 LEET = str.maketrans("@4310!5$7", "aaeioisst")
 ROWS = ["`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./"]
 SHIFT = str.maketrans('~!@#$%^&*()_+{}|:"<>?', "`1234567890-=[]\\;',./")
@@ -59,7 +75,9 @@ DATE = [
     (re.compile(r"(?:0[1-9]|1[0-2])([-/._]?)(?:0[1-9]|[12]\d|3[01])\1(?:19|20)\d\d"), 365),
     (re.compile(r"((?:19|20)\d\d)"), 1),
 ]
+#: Whole periods of a repeat are tried as its unit.
 PERIOD = 16
+LOG2, LOG47, TURN = math.log10(2), math.log10(47), math.log10(4.6)
 
 
 def _places() -> dict[str, tuple[float, int]]:
@@ -78,66 +96,149 @@ def _near(a: str, b: str) -> tuple[float, int] | None:
     return step if abs(step[0]) <= 1 and abs(step[1]) <= 1 else None
 
 
+STEPS = {(a, b): step for a in PLACES for b in PLACES if (step := _near(a, b))}
+
+
+def _size(has: tuple[bool, ...]) -> float:
+    return math.log10(max(sum(n for n, there in zip((10, 26, 26, 33, 100), has, strict=True) if there), 10))
+
+
+def _kinds(value: str) -> tuple[bool, ...]:
+    return any(c in "0123456789" for c in value), any("a" <= c <= "z" for c in value), any("A" <= c <= "Z" for c in value), any(c.isascii() and not c.isalnum() for c in value), any(not c.isascii() for c in value)
+
+
 def alphabet(value: str) -> float:
     """Log10 of the number of characters that a guesser would have to try at each place of a brute-force span."""
     if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value):
         return math.log10(10 if value.isdigit() else 16)
-    size = 10 * any(c in "0123456789" for c in value) + 26 * any("a" <= c <= "z" for c in value) + 26 * any("A" <= c <= "Z" for c in value)
-    size += 33 * any(c.isascii() and not c.isalnum() for c in value) + 100 * any(not c.isascii() for c in value)
-    return math.log10(max(size, 10))
+    return _size(_kinds(value))
 
 
-def segments(value: str) -> Iterator[tuple[int, int, str, float]]:
-    """Every span that is a word, a date, a walk or a repeat: start, end, kind, log10 of guesses.  Spans of a run are given for all its parts of three or more."""
-    n, low = len(value), value.lower()
-    if len(low) != n:  # a character whose lower case is longer
+def _lowered(value: str) -> str:
+    low = value.lower()
+    if len(low) != len(value):  # a character whose lower case is longer
         low = "".join(c if len(c.lower()) != 1 else c.lower() for c in value)
-    plain = low.translate(LEET)
-    for i in range(n):
-        for j in range(i + 3, min(n, i + LONGEST) + 1):
-            for text, leet in ((low[i:j], 0.0), (plain[i:j], math.log10(2))):
+    return low
+
+
+def fixed(value: str, low: str, plain: str, i: int) -> Iterator[tuple[int, str, float]]:
+    """Words and dates from place i: end, kind, log10 of guesses."""
+    if low[i : i + 3] in BEGINNINGS or plain[i : i + 3] in BEGINNINGS:
+        for j in range(i + 3, min(len(value), i + LONGEST) + 1):
+            for text, leet in ((low[i:j], 0.0), (plain[i:j], LOG2)):
                 if text in RANK and not (leet and text == low[i:j]):
-                    yield i, j, "word", math.log10(RANK[text]) + leet + (math.log10(2) if value[i:j] != low[i:j] else 0.0)
+                    yield j, "word", math.log10(RANK[text]) + leet + (LOG2 if value[i:j] != low[i:j] else 0.0)
+    if value[i] in "0123456789":
         for rx, days in DATE:
             if m := rx.match(value, i):
                 year = int(re.search(r"(?:19|20)\d\d", m.group())[0])
-                yield i, m.end(), "date", math.log10(days * max(abs(year - 2020), 20)) + (math.log10(4) if days > 1 and m.group(1) else 0.0)
-    keys = low.translate(SHIFT)
-    i = 0
-    while i < n - 2:
-        j, turns, last, costs = i + 1, 0, None, []
-        while j < n and (step := _near(keys[j - 1], keys[j])):
-            turns += step != last
-            last = step
-            j += 1
-            if j - i >= 3:
-                costs.append((j, math.log10(47 * (j - i)) + turns * math.log10(4.6)))
-        for end, cost in costs:
-            yield i, end, "walk", cost
-        i += 1
-    for p in range(1, PERIOD + 1):
-        run = 0  # characters that equal the one p places before
-        for j in range(p, n):
-            run = run + 1 if value[j] == value[j - p] else 0
-            if run and run % p == 0 and run >= (2 if p == 1 else p):
-                times = run // p + 1
-                start = j + 1 - times * p
-                yield start, j + 1, "repeat", p * alphabet(value[start : start + p]) + math.log10(times)
+                yield m.end(), "date", math.log10(days * max(abs(year - 2020), 20)) + (math.log10(4) if days > 1 and m.group(1) else 0.0)
+
+
+def walk_cost(length: int, turns: int) -> float:
+    return math.log10(47 * length) + turns * TURN
+
+
+def repeat_cost(unit: str, times: int) -> float:
+    return len(unit) * alphabet(unit) + math.log10(times)
+
+
+class Starts:
+    """Least a + log10(x - i) over starts (i, a), for growing x.
+
+    A start that is no cheaper than a later one never wins, and an earlier, cheaper one catches up with a later one at
+    one x and leads from there on.  So starts that can still win form a stack, where those on top are caught first.
+    """
+
+    __slots__ = ("stack",)
+
+    def __init__(self):
+        self.stack: list[tuple[int, float, float]] = []  # start, cost, x at which the one below catches up
+
+    def add(self, i: int, a: float, x: int) -> None:
+        """To count from x on."""
+        s = self.stack
+        while s and s[-1][1] >= a:
+            s.pop()
+        caught = math.inf
+        while s:
+            j, b, other = s[-1]
+            r = 10.0 ** min(a - b, 300.0)
+            caught = (r * i - j) / (r - 1) if r > 1 else math.inf
+            if caught <= x:
+                return
+            if other > caught:
+                break
+            s.pop()  # it is caught before it catches
+            caught = math.inf
+        s.append((i, a, caught))
+
+    def best(self, x: int) -> tuple[float, int]:
+        s = self.stack
+        while len(s) > 1 and s[-1][2] <= x:
+            s.pop()
+        i, a, _ = s[-1]
+        return a + math.log10(x - i), i
+
+
+def _repeats(value: str) -> dict[int, list[tuple[int, float]]]:
+    """By end of a segment the periods p of which it ends at least two (of one character: three), each with the log10 of its unit."""
+    codes = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32)
+    found: dict[int, list[tuple[int, float]]] = {}
+    for p in range(1, min(PERIOD, len(value) // 2) + 1):
+        same = np.concatenate([[False], codes[p:] == codes[:-p], [False]])
+        edge = np.nonzero(same[1:] != same[:-1])[0]
+        for a, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):  # value[a + p:e + p] equals what is p places before
+            if e - a >= max(p, 2):
+                unit = p * alphabet(value[a : a + p])
+                for j in range(a + max(2 * p, 3), e + p + 1):
+                    found.setdefault(j, []).append((p, unit))
+    return found
 
 
 def guess_cost(value: str) -> tuple[float, list[tuple[int, int, str]]]:
     """Log10 of the guesses of the cheapest segmentation, and that segmentation; neighbouring brute-force characters are one span."""
     n, each = len(value), alphabet(value)
-    ending: dict[int, list[tuple[int, str, float]]] = {}
-    for i, j, kind, cost in segments(value):
-        ending.setdefault(j, []).append((i, kind, cost))
-    best: list[float] = [0.0] * (n + 1)
+    low = _lowered(value)
+    plain, keys = low.translate(LEET), low.translate(SHIFT)
+    best: list[float] = [math.inf] * (n + 1)
     back: list[tuple[int, str]] = [(0, "")] * (n + 1)
-    for j in range(1, n + 1):
-        best[j], back[j] = best[j - 1] + each, (j - 1, "brute")
-        for i, kind, cost in ending.get(j, ()):
-            if best[i] + cost < best[j] - 1e-12:
-                best[j], back[j] = best[i] + cost, (i, kind)
+    best[0] = 0.0
+    repeats = _repeats(value)
+    running: dict[tuple[int, int], tuple[Starts, int]] = {}
+    walks, since, last, turns = Starts(), 0, None, [0] * (n + 1)  # turns[j]: changes of direction up to character j
+    for j in range(n + 1):
+        if j:
+            if best[j - 1] + each < best[j] - 1e-12:
+                best[j], back[j] = best[j - 1] + each, (j - 1, "brute")
+            step = STEPS.get((keys[j - 2], keys[j - 1])) if j > 1 else None
+            if step is None:
+                walks, since, last = Starts(), j - 1, None
+            turns[j] = turns[j - 1] + (step is not None and last is not None and step != last)
+            last = step
+            if j - since >= 3:
+                i = j - 3
+                # From i on, the first step is a turn, and changes count from the step after it.
+                walks.add(i, best[i] - turns[i + 2] * TURN, j)
+                cost, i = walks.best(j)
+                cost += LOG47 + (1 + turns[j]) * TURN
+                if cost < best[j] - 1e-12:
+                    best[j], back[j] = cost, (i, "walk")
+            for p, unit in repeats.get(j, ()):
+                key, i = (p, j % p), j - (2 * p if p > 1 else 3)
+                own, before = running.get(key, (None, -1))
+                if own is None or before != j - p:
+                    own = Starts()
+                running[key] = (own, j)
+                own.add(i, best[i], j)
+                cost, i = own.best(j)
+                cost += unit - math.log10(p)
+                if cost < best[j] - 1e-12:
+                    best[j], back[j] = cost, (i, "repeat")
+        if j < n:
+            for end, kind, cost in fixed(value, low, plain, j):
+                if best[j] + cost < best[end] - 1e-12:
+                    best[end], back[end] = best[j] + cost, (j, kind)
     parts, j = [], n
     while j:
         i, kind = back[j]
