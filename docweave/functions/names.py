@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import hashlib
 import posixpath
 import re
 import unicodedata
@@ -78,8 +79,6 @@ def image_url(src: str | None, page: str) -> str:
 
 def local_image(url: str) -> str:
     """Where an image is kept, below the output folder."""
-    import hashlib
-
     if url.startswith("data:"):
         mime, data = data_uri(url)
         return f"assets/inline/{hashlib.sha1(data).hexdigest()[:16]}{extension(mime)}"
@@ -89,3 +88,12 @@ def local_image(url: str) -> str:
 
 def relative_link(target: str, page_file: str) -> str:
     return quote(posixpath.relpath(target, posixpath.dirname(page_file) or "."), safe="/")
+
+
+def safe_path(url: str) -> str | None:
+    """local_image(), or None where it would lie outside the folder or the data URI isn't well formed."""
+    try:
+        path = local_image(url)
+    except ValueError:
+        return None
+    return None if posixpath.normpath(path).startswith("..") or "\0" in path else path

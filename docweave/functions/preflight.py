@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 
-from .tree import Node, parse
+from .tree import Node, compiled, matches, parse
 
 BODIES = ("[data-slate-editor]", "article", "main", "[role=main]", "#js_content", ".rich_media_content")
 LEAST = 80
@@ -51,9 +51,13 @@ def _in_formula(node: Node) -> bool:
 
 
 def _is(node: Node, selector: str) -> bool:
-    from .tree import _matches, compiled
+    return any(matches(node, t, node) for t in compiled(selector))
 
-    return any(_matches(node, t, node) for t in compiled(selector))
+
+def title_of(root: Node) -> str:
+    """Of the first heading that counts as the document's; empty without one."""
+    n = root.first("h1, [data-slate-type=heading-one]")
+    return n.words() if n is not None else ""
 
 
 def stray_scripts(root: Node) -> int:
@@ -211,6 +215,11 @@ def counts(root: Node, found: list[dict]) -> dict[str, int]:
     }
 
 
+def signals(html: str, lazy: int, frames: int, stray: int, captions: int) -> dict:
+    low = html.lower()
+    return {"notebook": any(m in low for m in NOTEBOOK), "virtualized_editor": any(m in low for m in EDITOR), "lazy": lazy, "iframes": frames, "stray_scripts": stray, "captions": captions}
+
+
 def reasons(html: str, found: list[dict], stray: int) -> list[str]:
     low = html.lower()
     lazy = sum(a["lazy"] for a in found)
@@ -231,9 +240,10 @@ def preflight(html: str) -> dict:
     root = compacted(body)
     f, a = formulas(root), assets(root)
     text, small = root.words(), root.html()
+    lazy, frames = sum(x["lazy"] for x in a), sum(x["tag"] == "iframe" for x in a)
     why = reasons(html, a, stray)
     held = root.select("figure > figcaption, table > caption")
     if held:
         why.append(f"{len(held)} captions require strict handling")
     size, compact = len(html.encode()), len(small.encode())
-    return {"root": root, "selector": selector, "text_chars": len(text), "input_bytes": size, "compact_bytes": compact, "visible_bytes": len(text.encode()), "reduction_ratio": round(compact / size, 6) if size else 0.0, "counts": counts(root, f), "formulas": f, "assets": a, "strict_reasons": why}
+    return {"root": root, "selector": selector, "title": title_of(root), "signals": signals(html, lazy, frames, stray, len(held)), "text_chars": len(text), "input_bytes": size, "compact_bytes": compact, "visible_bytes": len(text.encode()), "reduction_ratio": round(compact / size, 6) if size else 0.0, "counts": counts(root, f), "formulas": f, "assets": a, "strict_reasons": why}

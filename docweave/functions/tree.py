@@ -86,11 +86,11 @@ class Node:
 
     def select(self, selector: str) -> list[Node]:
         tests = compiled(selector)
-        return [n for n in self.walk() if any(_matches(n, t, self) for t in tests)]
+        return [n for n in self.walk() if any(matches(n, t, self) for t in tests)]
 
     def first(self, selector: str) -> Node | None:
         tests = compiled(selector)
-        return next((n for n in self.walk() if any(_matches(n, t, self) for t in tests)), None)
+        return next((n for n in self.walk() if any(matches(n, t, self) for t in tests)), None)
 
     def remove(self) -> None:
         if self.parent is not None:
@@ -231,14 +231,14 @@ def _fits(node: Node, tests: list[dict]) -> bool:
     return True
 
 
-def _matches(node: Node, steps: list, root: Node) -> bool:
+def matches(node: Node, steps: list, root: Node) -> bool:
     if not _fits(node, steps[0][0]):
         return False
     child, rest = steps[0][1], steps[1:]
     if not rest:
         return True
     for up in node.up():
-        if _matches(up, rest, root):
+        if matches(up, rest, root):
             return True
         if child:
             return False

@@ -114,11 +114,57 @@ def fingerprint(df: DataFrame, fields: list[str]) -> DataFrame:
     return df.withColumn("fingerprint", F.sha2(F.to_json(F.struct(*sorted(fields)), {"ignoreNullFields": "false"}), 256))
 
 
-def resumable(now: DataFrame, ledger: DataFrame, key: str) -> DataFrame:
-    """key, reuse, reason: whether the last run's result stands (same fingerprint, known artifacts)."""
-    old = ledger.select(key, F.col("fingerprint").alias("_f"), F.col("digest").alias("_d"))
+ARTIFACTS = ("preflight/content", "preflight/manifest", "preflight/formulas", "preflight/assets", "formula-results")
+
+
+def job_digest(jobs: Column) -> Column:
+    """Of an array of validation jobs, with what matters of them in a fixed order."""
+    plain = F.transform(jobs, lambda j: F.struct(j["dom_hash"].alias("dom_hash"), j["latex"].alias("latex"), j["source_id"].alias("source_id"), j["source_ids"].alias("source_ids")))
+    return F.sha2(F.to_json(F.struct(F.coalesce(plain, F.array()).alias("jobs"))), 256)
+
+
+def artifact_ledger(artifacts: DataFrame) -> DataFrame:
+    """page_id, artifacts: path, size, sha256 and schema of each artifact (page_id, path, content, schema_version)."""
+    entry = F.struct("path", F.octet_length("content").cast("bigint").alias("size"), F.sha2(F.col("content").cast("binary"), 256).alias("sha256"), "schema_version")
+    return artifacts.groupBy("page_id").agg(F.array_sort(F.collect_list(entry)).alias("artifacts"))
+
+
+def artifact_errors(ledger: DataFrame, artifacts: DataFrame, wanted: tuple = ARTIFACTS) -> DataFrame:
+    """page_id, error: the first thing wrong with each page's artifacts, null where they all are as the ledger (page_id, artifacts) says."""
+    e = ledger.select("page_id", F.explode_outer("artifacts").alias("e")).select("page_id", F.col("e.path").alias("path"), F.col("e.size").alias("size"), F.col("e.sha256").alias("sha256"), F.col("e.schema_version").alias("schema"))
+    now = artifacts.select("page_id", "path", F.octet_length("content").cast("bigint").alias("_size"), F.sha2(F.col("content").cast("binary"), 256).alias("_sha"), F.col("schema_version").alias("_schema"), F.lit(True).alias("_there"))
+    df = e.join(now, ["page_id", "path"], "left")
+    say = lambda text: F.concat(F.lit(f"{text}: "), "path")
+    unsafe = F.col("path").startswith("/") | F.array_contains(F.split("path", "/"), "..")
+    wrong = F.coalesce(
+        F.when(unsafe, say("unsafe resume artifact path")), F.when(F.col("_there").isNull(), say("resume artifact missing or unreadable")), F.when(F.col("size") != F.col("_size"), say("resume artifact size mismatch")),
+        F.when(F.col("sha256") != F.col("_sha"), say("resume artifact digest mismatch")), F.when(~F.col("schema").eqNullSafe(F.col("_schema")), say("resume artifact schema mismatch")),
+    )
+    own = F.array_sort(F.collect_list("path"))
+    s = df.groupBy("page_id").agg(own.alias("paths"), F.min(F.when(wrong.isNotNull(), F.struct("path", wrong.alias("text")))).alias("first"))
+    twice = F.size(F.array_distinct("paths")) != F.size("paths")
+    other = F.col("paths") != F.array(*(F.lit(x) for x in sorted(wanted)))
+    return s.select("page_id", F.coalesce(F.when(twice, "resume ledger contains duplicate artifact paths"), F.when(other, "resume ledger artifact set mismatch"), F.col("first.text")).alias("error"))
+
+
+def resume_eligible(jobs: Column, failures: Column, count_errors: Column, unresolved: Column) -> Column:
+    """Whether a page's results may serve a later run: it has jobs, nothing failed, counts are right, and what is open is what waits for validation."""
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    waiting = F.array_sort(F.flatten(F.transform(jobs, lambda j: j["source_ids"])))
+    return (size(jobs) > 0) & (size(failures) <= 0) & (size(count_errors) <= 0) & ((size(unresolved) <= 0) | (F.array_sort(unresolved) == waiting))
+
+
+def resumable(now: DataFrame, ledger: DataFrame, key: str, errors: DataFrame | None = None) -> DataFrame:
+    """key, reuse, reason: whether the last run's result stands.  now and ledger have the key and the fields of the fingerprint; the first one that differs is the reason, else what errors (key, error) says of the artifacts."""
+    fields = [c for c in now.columns if c != key]
+    old = ledger.select(key, *(F.col(c).alias(f"_{c}") for c in fields), F.lit(True).alias("_there"))
     df = now.join(old, key, "left")
-    reason = F.when(F.col("_f").isNull(), "no ledger").when(F.col("_f") != F.col("fingerprint"), "fingerprint changed").when(F.col("_d").isNull(), "artifact missing")
+    reason = F.when(F.col("_there").isNull(), "resume ledger does not exist")
+    for c in fields:
+        reason = reason.when(~F.col(c).eqNullSafe(F.col(f"_{c}")), f"resume fingerprint mismatch: {c}")
+    if errors is not None:
+        df = df.join(errors.select(key, F.col("error").alias("_error")), key, "left")
+        reason = reason.otherwise(F.col("_error"))
     return df.select(key, reason.isNull().alias("reuse"), reason.alias("reason"))
 
 

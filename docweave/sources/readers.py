@@ -49,6 +49,22 @@ def http_get(url: str, timeout: int = 30, retries: int = 3, pause: float = 1.5)
     raise OSError(url)
 
 
+#: An image of more bytes is skipped.
+IMAGE_BYTES = 50 << 20
+
+
+def downloaded(url: str, timeout: int = 30, delay: float = 0.0, most: int = IMAGE_BYTES) -> bytes | None:
+    """An image's bytes; None where it can't be had or is too large, so that one image fails by itself."""
+    try:
+        with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": AGENT}), timeout=timeout) as got:  # noqa: S310
+            data = got.read(most + 1)  # one more than allowed: what a header says of the length isn't sure
+    except (OSError, ValueError):
+        return None
+    if delay:
+        time.sleep(delay)
+    return data if len(data) <= most else None
+
+
 def fetched(urls: DataFrame, get: Callable[[str], str] = http_get) -> DataFrame:
     """ord, url, html, error; the transport is a parameter, and one failure leaves the rest alone."""
 

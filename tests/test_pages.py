@@ -36,8 +36,8 @@ def test_conversion(spark):
     assert "## Sub\n\n- one\n  - two\n\n1. x\n\n> q" in text[0]
     assert "| a | b |\n| --- | --- |\n| 1\\|2 | **3** |" in text[1] and "```python\nprint(1)\n```" in text[1]
     assert "See $x\\_i$ and [link *it*](/u) end, yes." in text[2]
-    assert "![a\\]b](files/article/asset-0001.png)" in text[3] and rows[3]["files"][0]["name"] == "asset-0001.png"
-    assert rows[7]["reasons"] == ["codeblocks: expected 0, emitted 1"] and rows[8]["reasons"] == ["unresolved formula formula-0001"]
+    assert "![a\\]b](files/Title/asset-0001.png)" in text[3] and rows[3]["files"][0]["name"] == "asset-0001.png"
+    assert rows[7]["reasons"] == ["codeblocks: expected 0, emitted 1"] and rows[8]["reasons"] == ["1 formulas await batch KaTeX validation"]
     assert text[4:] == [None] * 6
 
 
@@ -45,7 +45,7 @@ def test_outcomes_of_odd_pages(spark):
     rows = outcome(spark, None, "<html><body><p>short</p></body></html>", f"<html><article>{LONG}</article><article>{LONG}</article></html>", "<p>jupyter</p>")
     assert [r["status"] for r in rows] == ["strict_required"] * 4
     assert "no unique" in rows[0]["reasons"][0] and "ambiguous" in rows[2]["reasons"][0] and rows[3]["reasons"] == ["notebook markers detected"]
-    assert outcome(spark, "", mode="strict")[0]["reasons"] == ["strict mode requested"]
+    assert outcome(spark, "", mode="strict")[0]["reasons"] == ["strict mode explicitly requested"]
     with pytest.raises(ValueError, match="mode"):
         outcome(spark, "", mode="guess")
 
@@ -66,6 +66,90 @@ def test_formulas_once_per_hash(spark):
     assert out == {1: "converted", 2: "blocked"}
 
 
+def test_one_pass(spark):
+    """The conversion is one Arrow kernel, and each page is parsed once."""
+    df = pages.convert_pages(spark.createDataFrame([(1, page(""))], "page_id bigint, html string"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+    r = df.collect()[0]
+    assert r["parses"].asDict() == {"full_document": 1, "detached_body": 0, "compact_snapshot": 0}
+    assert r["package"] == "Title" and r["title"] == "Title" and r["timings"]["total"] >= r["timings"]["preflight"] > 0 and r["timings"]["resume"] == 0
+
+
+KATEX = '<p><span class="katex"><span class="katex-html"><span class="mord">{}</span></span></span></p>'
+
+
+def test_blockers_and_gate(spark):
+    """Rebuilt formulas block their page until a report confirms the batch; failures block it for good."""
+    rows = [(1, page(KATEX.format("z") * 2 + KATEX.format("y"))), (2, page(KATEX.format("z"))), (3, page('<p><span class="katex"><span class="munder">z</span></span></p>')), (4, page("<p>plain</p>"))]
+    df = spark.createDataFrame(rows, "page_id bigint, html string")
+    got = {r["page_id"]: r for r in pages.convert_pages(df).collect()}
+    assert [got[i]["status"] for i in (1, 2, 3, 4)] == ["blocked"] * 3 + ["converted"]
+    assert "3 formulas await batch KaTeX validation" in got[1]["reasons"] and "1 formula parse failures" in got[3]["reasons"]
+    assert "{{FORMULA:formula-0001}}" in got[1]["markdown"] and got[1]["unresolved"] == ["formula-0001", "formula-0002", "formula-0003"]
+    s = got[1]["formula_batch"].asDict()
+    assert s == {"formula_total": 3, "formula_unique": 2, "cache_hits": 0, "cache_written": 1, "parsed_unique": 2, "resolved": 0, "failures": 0, "pending_validation": 3, "validation_jobs": 2, "validation_html_written": 1, "validation_nodes_saved": 1, "browser_batches_planned": 1}
+    staged = pages.staged_pages(df)
+    jobs = pages.pending_jobs(staged).collect()
+    assert sorted((j["latex"], j["formulas"]) for j in jobs) == [("y", 1), ("z", 3)]
+    items = [{"source_id": j["source_id"], "dom_hash": j["dom_hash"], "latex": j["latex"]} for j in jobs]
+    say = lambda n: spark.createDataFrame([("0.16", True, True, n, n, [], items)], "katex_version string, runtime_loaded boolean, completed boolean, total int, passed int, failures array<string>, items array<struct<source_id:string,dom_hash:string,latex:string>>")
+    good = {r["page_id"]: r for r in pages.convert_pages(df, report=say(2)).collect()}
+    assert [good[i]["status"] for i in (1, 2, 3, 4)] == ["converted", "converted", "blocked", "converted"]
+    assert "$z$" in good[1]["markdown"] and good[1]["formula_batch"]["resolved"] == 3 and good[1]["formula_batch"]["pending_validation"] == 0
+    bad = {r["page_id"]: r for r in pages.convert_pages(df, report=say(1)).collect()}
+    assert bad[1]["status"] == "blocked" and "counts do not match the pending batch" in bad[1]["reasons"]
+    # What one run found out is the next one's cache.
+    cache = pages.new_cache_entries(staged)
+    assert {(r["latex"], r["success"], r["validation"]) for r in cache.collect()} == {("z", True, "not_validated"), ("y", True, "not_validated"), (None, False, "not_validated")}
+    again = {r["page_id"]: r["formula_batch"] for r in pages.convert_pages(df, cache=cache).collect()}
+    assert again[1]["cache_hits"] == 2 and again[1]["parsed_unique"] == 0 and again[1]["cache_written"] == 0
+    assert pages.new_cache_entries(pages.staged_pages(df, cache=cache), cache).isEmpty()
+    pages.KNOWN_ROWS, before = 1, pages.KNOWN_ROWS
+    try:
+        far = {r["page_id"]: r["formula_batch"]["cache_hits"] for r in pages.convert_pages(df, cache=cache).collect()}
+    finally:
+        pages.KNOWN_ROWS = before
+    assert far == {1: 2, 2: 1, 3: 1, 4: 0}
+
+
+def test_kernels_without_the_package(tmp_path):
+    """Executors needn't have the package: the job runs from another folder, where workers can't import it."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    code = f"""
+import sys
+sys.path.insert(0, {str(root)!r})
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master("local-cluster[1,1,1024]").config("spark.ui.enabled", "false").config("spark.executorEnv.PYTHONPATH", "").getOrCreate()
+from docweave.operators import pages
+df = s.createDataFrame([(1, {page('<ul><li>a</li></ul>')!r})], "page_id bigint, html string")
+print([r["status"] for r in pages.convert_pages(df).collect()], pages.docsite_pages(df).collect()[0]["error"])
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env | {"SPARK_SCALA_VERSION": "2.13"}, capture_output=True, text=True, timeout=240, check=False)
+    assert "['converted'] None" in done.stdout, done.stderr[-2000:]
+
+
+def test_docsite_images(spark):
+    html = '<div class="vp-doc"><h1>T</h1><img src="/p/assets/i.png" alt="a"><img src="gone.png" alt="b"><img src="data:image/gif;base64,QUI="><img src="../assets/%2e%2e/%2e%2e/x"></div>'
+    df = spark.createDataFrame([(1, "https://x/docs/a", html), (2, "https://x/docs/b", html), (3, "https://x/docs/c", "<p>no body</p>")], "page_id bigint, url string, html string")
+    images = pages.page_images(df, "https://x/docs")
+    assert images.filter("path is null").count() == 2
+    stored = pages.stored_images(images, lambda u: b"PNG" if u.endswith("i.png") else None)
+    got = {r["url"]: r["data"] for r in stored.collect()}
+    assert got["https://x/p/assets/i.png"] == b"PNG" and got["https://x/docs/gone.png"] is None and got["data:image/gif;base64,QUI="] == b"AB"
+    out = {r["page_id"]: r for r in pages.localized_pages(df, stored, "https://x/docs").collect()}
+    assert out[1]["path"] == "a.md" and "![a](assets/i.png)" in out[1]["markdown"] and "*[图片: b]*" in out[1]["markdown"] and out[3]["error"]
+    clash = spark.createDataFrame([(1, "https://x/docs/a", '<main><p>t</p><img src="https://y/assets/i.png"><img src="https://z/q/assets/i.png"></main>')], "page_id bigint, url string, html string")
+    with pytest.raises(ValueError, match="clash"):
+        pages.stored_images(pages.page_images(clash, ""), lambda u: b"")
+
+
 def test_canonical_hash_and_nesting():
     a, b = (parse(f'<span {x}> t  u </span>').elements()[0] for x in ('class="katex b" style="top: 1em;left:2px" onclick="x"', 'style="left:2px ; top: 1em" class="b katex"'))
     assert canonical(a) == canonical(b)

@@ -6,6 +6,7 @@ from docweave.plans import catalog
 from docweave.sources import readers, sinks
 from docweave.streaming.incremental import convert_stream, landing
 from oracle import compare
+from pyspark.sql import functions as F
 from test_pages import page
 
 SF = "/root/testdata/sf0.001"
@@ -90,8 +91,9 @@ def test_sinks_and_stream(spark, tmp_path):
     sinks.write_corpus(done, str(tmp_path / "out"))
     sinks.write_corpus(done, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out/markdown")).count() == 1
-    a, b = (sinks.packages(done).collect()[0]["zip"] for _ in range(2))
-    assert a == b and a[:2] == b"PK"
+    a, b = (sinks.packages(done).collect()[0] for _ in range(2))
+    assert a["zip"] == b["zip"] and a["zip"][:2] == b"PK" and a["package"] == "Title"
+    assert json.loads(spark.read.parquet(str(tmp_path / "out/reports")).filter("page_id = 1").first()["report"])["status"] == "converted"
     assert sinks.validation_document([{"source_id": "f", "dom_hash": "h", "latex": '<"'}]).count("&lt;&quot;") == 1
     df.write.parquet(str(tmp_path / "in"))
     for _ in range(2):  # the second run finds nothing new
@@ -100,6 +102,75 @@ def test_sinks_and_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "md")).count() == 2
 
 
+def test_files_written_once(tmp_path):
+    path = str(tmp_path / "v.html")
+    assert sinks.write_if_changed(path, "a") and not sinks.write_if_changed(path, "a") and sinks.write_if_changed(path, "b")
+    sinks.write_json(str(tmp_path / "r.json"), {"b": 1, "a": "é"})
+    assert (tmp_path / "r.json").read_text() == '{\n  "a": "é",\n  "b": 1\n}\n'
+    (tmp_path / "katex.js").write_text("x")
+    (tmp_path / "out").mkdir()
+    assert open(sinks.copy_runtime(str(tmp_path / "katex.js"), str(tmp_path / "out"))).read() == "x"
+    with pytest.raises(OSError):
+        sinks.copy_runtime(str(tmp_path / "none.js"), str(tmp_path / "out"))
+
+
+def test_preflight_artifacts(spark, tmp_path):
+    pre = pages.preflights(spark.createDataFrame([(1, page('<img src="data:,x"><p><math alttext="y"></math></p>')), (2, None)], "page_id bigint, html string"))
+    sinks.write_preflight(pre, str(tmp_path))
+    n = {k: spark.read.parquet(str(tmp_path / k)).count() for k in ("content", "manifest", "formulas", "assets")}
+    assert n == dict.fromkeys(n, 1)
+    m = json.loads(spark.read.parquet(str(tmp_path / "manifest")).first()["manifest"])
+    assert m["counts"]["formula_total"] == 1 and m["recommended_mode"] == "fast" and m["signals"]["iframes"] == 0
+
+
+def test_validation_documents(spark):
+    jobs = spark.createDataFrame([(f"f{i}", f"h{i}", "<") for i in range(30)], "source_id string, dom_hash string, latex string")
+    got = sinks.validation_documents(jobs, 10).collect()
+    assert 1 < len(got) <= 3 and sum(r["html"].count("data-latex=") for r in got) == 30
+
+
+def test_artifacts_and_resume(spark):
+    rows = [(p, a, f"{p}{a}", "1.0") for p in (1, 2, 3, 4) for a in ledgers.ARTIFACTS]
+    made = spark.createDataFrame(rows, "page_id bigint, path string, content string, schema_version string")
+    ledger = ledgers.artifact_ledger(made)
+    now = made.filter("not (page_id = 2 and path = 'formula-results')").withColumn("content", F.when((F.col("page_id") == 3) & (F.col("path") == "preflight/assets"), F.lit("3preflight/assetz")).otherwise(F.col("content")))
+    got = {r["page_id"]: r["error"] for r in ledgers.artifact_errors(ledger, now).collect()}
+    assert got == {1: None, 2: "resume artifact missing or unreadable: formula-results", 3: "resume artifact digest mismatch: preflight/assets", 4: None}
+    some = ledger.withColumn("artifacts", F.slice("artifacts", 1, 4))
+    assert {r["error"] for r in ledgers.artifact_errors(some, made).collect()} == {"resume ledger artifact set mismatch"}
+    odd = ledger.withColumn("artifacts", F.transform("artifacts", lambda a: a.withField("path", F.regexp_replace(a["path"], "^preflight/assets$", "../x"))))
+    assert {r["error"] for r in ledgers.artifact_errors(odd, made, tuple("../x" if a == "preflight/assets" else a for a in ledgers.ARTIFACTS)).collect()} == {"unsafe resume artifact path: ../x"}
+    new = spark.createDataFrame([(i, "s" if i != 4 else "t", "auto") for i in range(1, 6)], "page_id bigint, source_sha256 string, mode string")
+    old = spark.createDataFrame([(i, "s", "auto") for i in range(1, 5)], "page_id bigint, source_sha256 string, mode string")
+    r = {x["page_id"]: x["reason"] for x in ledgers.resumable(new, old, "page_id", ledgers.artifact_errors(ledger, now)).collect()}
+    assert r[1] is None and r[4] == "resume fingerprint mismatch: source_sha256" and r[5] == "resume ledger does not exist" and r[3].startswith("resume artifact digest")
+
+
+def test_resume_eligible(spark):
+    body = '<p><span class="katex"><span class="katex-html"><span class="mord">z</span></span></span></p>'
+    df = pages.convert_pages(spark.createDataFrame([(1, page(body)), (2, page("")), (3, page('<p><span class="katex"><span class="munder">z</span></span></p>'))], "page_id bigint, html string"))
+    c = F.col
+    got = {r["page_id"]: r["ok"] for r in df.select("page_id", ledgers.resume_eligible(c("jobs"), c("failures"), pages.count_errors(c("counts"), c("emitted")), c("unresolved")).alias("ok")).collect()}
+    assert got == {1: True, 2: False, 3: False}
+
+
+def test_gate(spark):
+    df = spark.createDataFrame([(1, "plain\n"), (2, "a  $x$\n"), (3, "```\nopen"), (4, "{{FORMULA:f}}\n"), (5, None)], "k bigint, t string")
+    assert {r["k"]: r["code"] for r in pages.gate(df, "k", "t").collect()} == {1: 0, 2: 1, 3: 2, 4: 1, 5: 2}
+    assert {r["k"]: r["code"] for r in pages.gate(df, "k", "t", apply=True).collect()} == {1: 0, 2: 0, 3: 2, 4: 1, 5: 2}
+    assert pages.exit_code(pages.gate(df, "k", "t")) == 2 and pages.exit_code(pages.gate(df.limit(0), "k", "t")) == 0
+    assert [(r["k"], r["line"], r["placeholder"]) for r in pages.residual_placeholders(df, "k", "t").collect()] == [(4, 1, "{{FORMULA:f}}")]
+
+
+def test_dependencies(capsys):
+    from docweave import dependencies
+
+    assert dependencies.missing() == [] and dependencies.missing({"no_such_module": "none"}) == ["none"]
+    with pytest.raises(SystemExit) as end:
+        dependencies.check({"no_such_module": "none"})
+    assert end.value.code == 2 and "none" in capsys.readouterr().err
+
+
 def test_synthetic(spark):
     df = readers.synthetic(spark, 2, 5, 10, 12, 3)
     rows = pages.convert_pages(df).collect()
