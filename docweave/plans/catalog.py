@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import language
 from ..functions.markdown import CJK
 from ..functions.preflight import EDITOR, NOTEBOOK
 from ..operators import ledgers, pages, text
 from ..sources.readers import table
+from . import held
 
 _made: dict = {}
 _sql: dict[str, str] = {}
@@ -79,16 +79,6 @@ def p0_postprocess(spark: SparkSession, d: str) -> DataFrame:
     return pages.postprocess(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "markdown", "changed", "residual", "error")
 
 
-@_query()
-def e1_fenced_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return pages.fence_blocks(table(spark, d, "conversations").withColumn("key", F.col("conv_id") * 1000 + F.col("turn")), "key", "text")
-
-
-@_query()
-def f14_formula_stats(spark: SparkSession, d: str) -> DataFrame:
-    rows = pages.formula_rows(pages.preflights(table(spark, d, "pages")))
-    res = pages.resolve_formulas(rows)
-    return rows.join(res.select("dom_hash", "success"), "dom_hash").groupBy("source_kind", "success").agg(F.count(F.lit(1)).alias("formulas"), F.countDistinct("dom_hash").alias("unique_formulas"))
 
 
 @_query()
@@ -115,25 +105,12 @@ def r1_strict_markers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", a.alias("notebook"), b.alias("virtualized_editor"))
 
 
-@_query("""select page_id, list_filter([case when contains(lower(html), '<iframe') then 'iframe' end, case when contains(lower(html), '<table') then 'table' end, case when contains(lower(html), '<br') then 'break' end], lambda x: x is not null) as signals from pages""")
-def r3_reason_lists(spark: SparkSession, d: str) -> DataFrame:
-    low = F.lower("html")
-    return table(spark, d, "pages").select("page_id", F.array_compact(F.array(*(F.when(low.contains(f"<{t}"), n) for t, n in (("iframe", "iframe"), ("table", "table"), ("br", "break"))))).alias("signals"))
-
 
 @_query(r"select doc_id, trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g')) as normalized from documents")
 def b3_normalized_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.normalized(F.col("text")).alias("normalized"))
 
 
-@_query(r"select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '[\t\r\n ]+', ' ', 'g'), ' +([,.;:!?，。；：！？、)])', '\1', 'g'), '([(]) +', '\1', 'g'), chr(32) || chr(9) || chr(10) || chr(13)) as tidy from documents")
-def v17_inline_tidy(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", text.tidy(F.col("text")).alias("tidy"))
-
-
-@_query(f"select doc_id, {language.sql('text')} as language from documents")
-def v19_code_language(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", language.guessed(F.col("text")).alias("language"))
 
 
 @_query("select doc_id, coalesce(list_max(list_transform(regexp_extract_all(text, '(`+)', 1), lambda x: length(x))), 0)::int as ticks, coalesce(list_max(list_transform(regexp_extract_all(text, '(\\$+)', 1), lambda x: length(x))), 0)::int as dollars from documents".replace("\\\\", "\\"))
@@ -159,22 +136,6 @@ def p2_dollar_spacing(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.replace(text.dollar_spacing(F.col("text")), F.lit("****"), F.lit("")).alias("text"))
 
 
-@_query(r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(1, len(string_split(text, chr(10))) + 1)) as nr from documents),
-h as (select doc_id, nr, unnest(regexp_extract_all(line, '([A-Za-z0-9._-]+@[A-Za-z0-9.-]+)', 1)) as hit from l)
-select doc_id, cast(nr as bigint) as line, hit from h""")
-def p10_line_scan(spark: SparkSession, d: str) -> DataFrame:
-    """The placeholder scan's plan, with a pattern that these tables have."""
-    df = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("nr", "line"))
-    return df.select("doc_id", (F.col("nr") + 1).cast("bigint").alias("line"), F.explode(F.regexp_extract_all("line", F.lit("([A-Za-z0-9._-]+@[A-Za-z0-9.-]+)"), 1)).alias("hit"))
-
-
-@_query(r"""with p as (select page_id, regexp_replace(url, '[?#].*$', '') as plain from pages), b as (select page_id, plain, regexp_extract(plain, '^([a-z]+://[^/]+)', 1) as base from p),
-r as (select page_id, substr(plain, length(base) + 2) as rest from b)
-select page_id, case when trim(rest, '/') = '' then 'index' when ends_with(rest, '/') then trim(rest, '/') || '/index' else trim(rest, '/') end || '.md' as path from r""")
-def n3_page_paths(spark: SparkSession, d: str) -> DataFrame:
-    plain = F.regexp_replace("url", r"[?#].*$", "")
-    local = F.concat(F.lit("https://x"), F.substr(plain, F.length(F.regexp_extract(plain, "^([a-z]+://[^/]+)", 1)) + 1))
-    return table(spark, d, "pages").select("page_id", text.page_path(local, "https://x").alias("path"))
 
 
 @_query("select ord, url from (select page_id as ord, trim(url) as url from pages) where url <> '' and not contains(url, 'blog') and not contains(url, '?') order by ord limit 20")
@@ -198,11 +159,6 @@ def ledgers_order(df: DataFrame) -> DataFrame:
     return df.select("semantic_id", "idx", "representation", "priority", "first_idx")
 
 
-@_query("select sha256(text) as dom_hash, min(doc_id) as source_id, list_sort(list(doc_id)) as source_ids, count(*) as n from documents where text is not null group by sha256(text) having count(*) > 1")
-def f11_jobs_by_hash(spark: SparkSession, d: str) -> DataFrame:
-    df = table(spark, d, "documents").filter("text is not null").select("doc_id", F.sha2("text", 256).alias("dom_hash"))
-    return df.groupBy("dom_hash").agg(F.min("doc_id").alias("source_id"), F.array_sort(F.collect_list("doc_id")).alias("source_ids"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-
 
 @_query("select doc_id, lang, source from (select doc_id, lang, source, row_number() over (partition by doc_id order by source) as nth from documents) n where nth = 1 and doc_id not in (select doc_id from labels where doc_id is not null)")
 def f6_cache_merge(spark: SparkSession, d: str) -> DataFrame:
@@ -262,29 +218,16 @@ def r14_collisions(spark: SparkSession, d: str) -> DataFrame:
     return ledgers.collisions(table(spark, d, "documents").select(F.col("lang").alias("output"), F.col("source").alias("package")))
 
 
-@_query("""select n.doc_id, l.doc_id is not null and l.quality = n.q and l.toxic is not null as reuse, case when l.doc_id is null then 'no ledger' when l.quality <> n.q then 'fingerprint changed' when l.toxic is null then 'artifact missing' end as reason
-from (select doc_id, case when n_chars > 500 then 1 else 0 end as q from documents) n left join labels l using (doc_id)""")
-def p6_resume(spark: SparkSession, d: str) -> DataFrame:
-    now = table(spark, d, "documents").select("doc_id", F.when(F.col("n_chars") > 500, 1).otherwise(0).alias("fingerprint"))
-    return ledgers.resumable(now, table(spark, d, "labels").select("doc_id", F.col("quality").alias("fingerprint"), F.col("toxic").alias("digest")), "doc_id")
-
 
 @_query("select event_type as scenario, count(*) as passes, median(value) as median_ms, round(avg(value), 6) as mean_ms, min(value) as least_ms, max(value) as most_ms from events group by event_type")
 def w1_medians(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy(F.col("event_type").alias("scenario")).agg(F.count(F.lit(1)).alias("passes"), F.median("value").alias("median_ms"), F.round(F.avg("value"), 6).alias("mean_ms"), F.min("value").alias("least_ms"), F.max("value").alias("most_ms"))
 
 
-@_query("""select doc_id, case when n = 0 then case when rich > 0 then 1 else 0 end when latex then 2 else 3 end as level from
-(select doc_id, (length(text) - length(replace(text, '$', '')))::bigint as n, (length(text) - length(replace(text, '|', '')))::bigint as rich, contains(text, '.') as latex from documents)""")
-def r9_complexity(spark: SparkSession, d: str) -> DataFrame:
-    n = lambda c: F.length("text") - F.length(F.replace("text", F.lit(c), F.lit("")))
-    counts = F.struct(n("$").alias("formula_total"), n("|").alias("tables"), F.lit(0).alias("images"), F.lit(0).alias("codeblocks"))
-    return table(spark, d, "documents").withColumn("c", counts).select("doc_id", pages.complexity(F.col("c"), F.contains("text", F.lit("."))).alias("level"))
-
 
 def queries() -> dict:
-    return dict(_made)
+    return _made | held.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
+    return _sql | held.oracle_sql()
