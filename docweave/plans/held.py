@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import docsite, language, markdown, names, render
+from ..functions import docsite, images, language, markdown, names, render
+from ..operators import images as image_ops
 from ..operators import ledgers, pages
 from ..sources import sinks
 from ..sources.readers import table
@@ -448,6 +450,27 @@ def n1_names(spark: SparkSession, d: str) -> DataFrame:
     return pages.package_names(df.withColumn("t", title), "t", "n").select("p_partkey", "name", F.col("package_name").alias("numbered"))
 
 
+# -- images
+
+
+@_query("""select s_suppkey as page_id, case s_suppkey % 3 when 0 then 8 + s_suppkey % 7 else 0 end as width, case s_suppkey % 3 when 0 then 9 else 0 end as height, s_suppkey % 3 = 2 as fallback, ['no_watermark', '', ''][s_suppkey % 3 + 1] as reason, false as dewatermarked, case s_suppkey % 3 when 0 then 0 else octet_length(encode(s_name)) end::bigint as bytes, case s_suppkey % 3 when 0 then '' else sha256(s_name) end as sha, case s_suppkey % 3 when 2 then 'keep: kept' else 'keep: ' end as entry from supplier""")
+def i6_image_processing(spark: SparkSession, d: str) -> DataFrame:
+    """Images that pass, have no logo, or can't be read."""
+
+    @F.pandas_udf("binary")
+    def drawn(keys):
+        return keys.map(lambda k: images.encode_png(np.full((9, 8 + k % 7, 3), 200, np.uint8)))
+
+    k = F.col("s_suppkey") % 3
+    df = table(spark, d, "supplier").select(F.col("s_suppkey").alias("page_id"), F.lit("asset-0001").alias("source_id"), F.when(k == 1, "image/svg+xml").otherwise("image/png").alias("mime"), F.when(k == 0, drawn("s_suppkey")).otherwise(F.encode("s_name", "utf-8")).alias("data"))
+    done = image_ops.processed_images(df)
+    entries = image_ops.image_ledger(done).select("page_id", F.concat("decision", F.lit(": "), F.substring("reason", 1, 4)).alias("entry"))
+    same = F.col("mime") == "image/png"
+    drawn_one = same & ~F.col("fallback_to_original")
+    out = done.select("page_id", "width", "height", F.col("fallback_to_original").alias("fallback"), F.col("validation_reason").alias("reason"), "dewatermarked", F.when(drawn_one, 0).otherwise(F.col("final_bytes")).cast("bigint").alias("bytes"), F.when(drawn_one, "").otherwise(F.sha2("data", 256)).alias("sha"))
+    return out.join(entries, "page_id")
+
+
 # -- documentation pages
 
 _SITE = (

@@ -104,8 +104,9 @@ def formula_cache(spark: SparkSession, path: str, parser_version: str, platform:
     return spark.read.parquet(path).filter((F.col("parser_version") == parser_version) & (F.col("target_platform") == platform))
 
 
-def synthetic(spark: SparkSession, n: int, styles: int = 600, style_bytes: int = 1024, formulas: int = 168, unique: int = 12) -> DataFrame:
-    """page_id, url, html: style-heavy saved pages with repeated formulas."""
+def synthetic(spark: SparkSession, n: int, styles: int = 600, style_bytes: int = 1024, formulas: int = 168, unique: int = 12, rebuilt: bool = False) -> DataFrame:
+    """page_id, url, html: style-heavy saved pages with repeated formulas, with their LaTeX or (rebuilt) as KaTeX's HTML only."""
     css = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(styles)), lambda i: F.concat(F.lit("<style>.s"), i.cast("string"), F.lit("{"), F.rpad(F.lit(""), style_bytes, "a:b;"), F.lit("}</style>"))), "")
-    body = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(formulas - 1)), lambda i: F.concat(F.lit("<p>Paragraph "), i.cast("string"), F.lit(' with <span class="katex" data-tex="x_{'), (i % unique).cast("string"), F.lit('}">x</span> in its text.</p>'))), "")
+    before, after = ('<span class="katex"><span class="katex-html"><span class="mord">x', "</span></span></span>") if rebuilt else ('<span class="katex" data-tex="x_{', '}">x</span>')
+    body = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(formulas - 1)), lambda i: F.concat(F.lit("<p>Paragraph "), i.cast("string"), F.lit(f" with {before}"), (i % unique).cast("string"), F.lit(f"{after} in its text.</p>"))), "")
     return spark.range(n).select(F.col("id").alias("page_id"), F.concat(F.lit("https://example.org/"), F.col("id").cast("string")).alias("url"), F.concat(F.lit("<html><head>"), css, F.lit("</head><body><article><h1>Page</h1>"), body, F.lit("</article></body></html>")).alias("html"))

@@ -38,7 +38,7 @@ def test_conversion(spark):
     assert "See $x\\_i$ and [link *it*](/u) end, yes." in text[2]
     assert "![a\\]b](files/Title/asset-0001.png)" in text[3] and rows[3]["files"][0]["name"] == "asset-0001.png"
     assert rows[7]["reasons"] == ["codeblocks: expected 0, emitted 1"] and rows[8]["reasons"] == ["1 formulas await batch KaTeX validation"]
-    assert text[4:] == [None] * 6
+    assert text[4:7] == [None] * 3 and text[7] and "{{FORMULA:formula-0001}}" in text[8] and text[9] is None
 
 
 def test_outcomes_of_odd_pages(spark):

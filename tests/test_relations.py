@@ -2,7 +2,7 @@ import json
 
 import pytest
 from docweave.operators import ledgers, pages, text
-from docweave.plans import catalog
+from docweave.plans import benchmark, catalog
 from docweave.sources import readers, sinks
 from docweave.streaming.incremental import convert_stream, landing
 from oracle import compare
@@ -179,6 +179,15 @@ def test_synthetic(spark):
     assert rows[0]["compact_bytes"] < rows[0]["input_bytes"]
 
 
+def test_benchmark(spark):
+    records = benchmark.run(spark, 2, 3, 120, 768, 12, 3)
+    assert benchmark.conserved(records) == [] and [r["pass"] for r in records] == ["cold", "warm 1", "warm 2", "cold", "validation", "warm 1", "warm 2"]
+    assert all(r["total_ms"] >= r["preflight_ms"] > 0 and r["resume_ms"] == 0 for r in records)
+    assert benchmark.conserved([records[0] | {"cache_hits": 1, "reduction": 0.1}]) == ["original, cold: snapshot reduction", "original, cold: cache hits"]
+    with pytest.raises(ValueError):
+        benchmark.run(spark, 1, 1)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
