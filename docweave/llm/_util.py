@@ -19,9 +19,11 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``; a temporary one only where that is unset and all runs on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="docweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -110,7 +112,7 @@ class Words(dict):
 
 def release() -> None:
     """Gives memory that a kernel no longer uses back to the machine: a Python worker lives on, and the next stage's JVM needs the room."""
-    pa.default_memory_pool().release_unused()
+    pa.set_memory_pool(pa.system_memory_pool())  # the default one keeps what it has freed
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
     if trim is not None:
         trim(0)

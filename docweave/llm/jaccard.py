@@ -13,13 +13,17 @@ their sets is at least ``THRESHOLD``; the result is exact.
    of its size or above must have.  DivideSkip sets the L longest of its lists aside, merges the short ones
    with a heap that skips to the next record with T - L occurrences, and probes the long ones by
    binary search; what reaches the overlap that its own size requires is a partner.
+5. A block of more than ``BLOCK`` grams is cut into chunks of records, and every two chunks are searched
+   as a task of their own, so no task holds more than two of them.
 
-Documents with the same set are one record, named by the lowest doc_id; its copies are listed against
-that name with similarity 1.  So the partners of a copy are the partners of its record.
+Pairs never leave a task: it gives each record's number of near ones, and an edge to the least record that
+it is linked with there.  So what is written grows with the documents, not with the pairs of a group.
+Documents with the same set of grams are one record with a weight.  A class is what is linked by near pairs
+and equal sets, directly or through others, and has the lowest doc_id of its documents as its name.
 
-Defined results: null, empty and blank texts have no grams and no partners; texts are taken whole; rows
-that agree in doc_id and set of grams are one document; null doc_id sorts first and may name a record;
-an empty table gives no rows; other columns are not read.  The input must give the same rows in the same
+Defined results: null, empty and blank texts have no grams, no links, and themselves as their class; texts are
+taken whole; rows that agree in doc_id and set of grams are one document and give a row each, with the same
+answer; null doc_id sorts first and may name a class; an empty table gives no rows; other columns are not read.  The input must give the same rows in the same
 order when a task is run again, as tables do.
 """
 
@@ -27,6 +31,9 @@ from __future__ import annotations
 
 import heapq
 import math
+from array import array
+from bisect import bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,17 +45,17 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ._packed import SPACE, bits_for, grams, hashed_words, lists, pack, parts, planes, runs, unpack, unplanes
-from ._util import scratch, side
+from ._util import SIDE_ROWS, release, roots, scratch, side
 from .components import components
 
 GRAM = 3
 THRESHOLD = 0.5
 #: Grams that a map task holds at once, and that a range of hashes should have (about).
-CHUNK, RANGE = 2_000_000, 1_500_000
-#: DivideSkip's weight of a probe against a step of the merge.
-MU = 0.5
-#: From so many postings on, short lists are merged by counting them at once instead of one by one.
-MANY = 2_000
+CHUNK, RANGE = 1_000_000, 1_500_000
+#: Grams of a chunk of a block; of blocks that would have more than MANY chunks, up to GROW times as many.
+BLOCK, MANY, GROW = 1_000_000, 32, 4
+#: DivideSkip's weight of a probe, which goes for all candidates at once, against a step of the merge.
+MU = 0.005
 SLACK = 1e-9
 
 
@@ -108,8 +115,10 @@ def postings(docs: DataFrame, bits: int, n: int = GRAM) -> DataFrame:
                     yield flush(chunk, sets, sigs)
                     known, sets, sigs, held = set(), [], [], 0
                     chunk += 1
+                    release()
         if sets:
             yield flush(chunk, sets, sigs)
+        release()
 
     return docs.select("doc_id", F.xxhash64("text").alias("th"), hashed_words(F.col("text")).alias("w")).mapInArrow(run, schema)
 
@@ -139,6 +148,7 @@ def shared(found: DataFrame) -> DataFrame:
         g, rec, of = g[order], rec[order], of[order]
         at = np.searchsorted(of, np.arange(len(rows) + 1))
         out = [{"bucket": 0, "chunk": r["chunk"], "g": pack(g[a:e]), "rec": planes(rec[a:e]), "df": planes(df[a:e].astype(np.uint32))} for r, a, e in zip(rows, at[:-1], at[1:], strict=True) if e > a]
+        release()
         return pa.Table.from_pylist([{c: r.get(c) for c in names} for r in out], schema=t.schema)
 
     # Rows that pass through are spread as well.
@@ -173,6 +183,7 @@ def survivors(blobs: DataFrame, threshold: float) -> DataFrame:
             need = math.ceil(threshold * size - SLACK)
             prefix = mine[: max(0, (size - need + 1) - (size - len(mine)))]
             out.append({"sig": sigs[i].tobytes(), "size": size, "grams": np.sort(mine).tobytes(), "prefix": prefix.view(np.int64)})
+        release()
         return pa.Table.from_pylist(out, schema=kinds)
 
     return blobs.groupBy("chunk").applyInArrow(run, RECORD)
@@ -181,78 +192,122 @@ def survivors(blobs: DataFrame, threshold: float) -> DataFrame:
 # -- DivideSkip
 
 
-def merge_skip(short: list[tuple[list[int], int]], need: int) -> dict[int, int]:
-    """Records whose weighted occurrences in the lists reach need (at least 1), with these.  A heap holds the head of each list; where the heads of least records can't reach it, their lists skip to the next head."""
-    heap = [(own[0], k, 0) for k, (own, _) in enumerate(short) if own]
+class Lists:
+    """Inverted lists of records, one after the other: each also as its runs of consecutive records, which near copies in the order of their numbers make long."""
+
+    def __init__(self, lists: list[np.ndarray], weights: list[int]):
+        self.weights = np.array(weights, np.int64)
+        self.bounds = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+        self.flat = np.concatenate(lists).astype(np.int64)
+        new = np.ones(len(self.flat), bool)
+        new[1:] = np.diff(self.flat) != 1
+        new[self.bounds[:-1]] = True
+        first = np.nonzero(new)[0]
+        self.run = np.cumsum(new) - 1
+        self.start = array("q", self.flat[first].tobytes())
+        self.end = array("q", (self.flat[np.append(first[1:], len(self.flat)) - 1] + 1).tobytes())
+        self.runs = np.append(self.run[self.bounds[:-1]], len(first))
+
+
+def merge_skip(index: Lists, runs: list[int], last: list[int], low: int, weights: list[int], need: int) -> list[tuple[int, int, int]]:
+    """Stretches (from, to, weight) of records from low on whose weighted occurrences in lists reach need (at least 1); runs and last: the first run of each list, and the one after its last.
+
+    A heap holds where each list's run begins, or ends where it has begun.  While the lists at hand don't reach need, heads that begin
+    before the first place at which it can be reached are passed over, and their lists skip to the run that ends behind it.
+    """
+    start, end = index.start, index.end
+    n, at, active = len(runs), list(runs), [False] * len(runs)
+    # An entry is a place with the list's number as the last digit of a number system of base n.
+    heap = [max(start[r], low) * n + k for k, (r, e) in enumerate(zip(runs, last, strict=True)) if r < e]
     heapq.heapify(heap)
-    found: dict[int, int] = {}
+    pop, push, replace = heapq.heappop, heapq.heappush, heapq.heapreplace
+    found: list[tuple[int, int, int]] = []
+    x = weight = 0
     while heap:
-        least, popped, weight = heap[0][0], [], 0
-        while heap and heap[0][0] == least:
-            popped.append(heapq.heappop(heap))
-            weight += short[popped[-1][1]][1]
+        top = heap[0]
+        place = top // n
         if weight >= need:
-            found[least] = weight
-            target = least + 1
-        else:
-            # Heads below the one at which need can be reached for the first time may be passed over.
-            while heap and weight + short[heap[0][1]][1] < need:
-                popped.append(heapq.heappop(heap))
-                weight += short[popped[-1][1]][1]
-            if not heap:
-                break
-            target = max(heap[0][0], least + 1)
-        for _, k, place in popped:
-            own = short[k][0]
-            place = _first_at_least(own, target, place)
-            if place < len(own):
-                heapq.heappush(heap, (own[place], k, place))
+            found.append((x, place, weight))
+        x, floor = place, place * n
+        while top < floor + n:
+            k = top - floor
+            if active[k]:
+                active[k] = False
+                weight -= weights[k]
+                at[k] = r = at[k] + 1
+                if r < last[k]:
+                    replace(heap, start[r] * n + k)
+                else:
+                    pop(heap)
+                    if not heap:
+                        break
+            else:
+                active[k] = True
+                weight += weights[k]
+                replace(heap, end[at[k]] * n + k)
+            top = heap[0]
+        if need == 1 or weight >= need:
+            continue
+        reach, popped = weight, []
+        while heap and reach < need:
+            top = pop(heap)
+            k = top % n
+            popped.append(k)
+            if not active[k]:
+                reach += weights[k]
+        if reach < need:
+            break
+        x = top // n
+        for k in popped:
+            if active[k]:
+                active[k] = False
+                weight -= weights[k]
+            at[k] = r = bisect_right(end, x, at[k], last[k])
+            if r < last[k]:
+                if max(start[r], low) <= x:
+                    active[k] = True
+                    weight += weights[k]
+                    push(heap, end[r] * n + k)
+                else:
+                    push(heap, start[r] * n + k)
     return found
 
 
-def _first_at_least(own: list[int], target: int, lo: int) -> int:
-    from bisect import bisect_left
-
-    return bisect_left(own, target, lo)
-
-
-def divide_skip(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, weights: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
-    """Records that occur at least need times in the weighted inverted lists (spans of flat), and how often."""
+def divide_skip(index: Lists, which: np.ndarray, here: np.ndarray, low: int, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """Records from low on that occur at least need times in the weighted lists ``which`` (from the places ``here`` of flat on), and how often."""
     none = np.zeros(0, np.int64)
-    lengths = ends - starts
-    if not len(lengths) or int(weights.sum()) < need:
+    ends = index.bounds[which + 1]
+    some = ends > here
+    which, here, ends = which[some], here[some], ends[some]
+    weights = index.weights[which]
+    if not len(which) or int(weights.sum()) < need:
         return none, none
-    order = np.argsort(lengths, kind="stable")
-    starts, ends, weights, lengths = starts[order], ends[order], weights[order], lengths[order]
-    aside = min(need - 1, int(need / (MU * math.log2(max(int(lengths[-1]), 2)) + 1)))
-    n = len(lengths) - int(np.searchsorted(np.cumsum(weights[::-1]), aside, side="right"))
+    order = np.argsort(ends - here, kind="stable")
+    which, here, ends, weights = which[order], here[order], ends[order], weights[order]
+    aside = min(need - 1, int(need / (MU * math.log2(max(int(ends[-1] - here[-1]), 2)) + 1)))
+    n = len(which) - int(np.searchsorted(np.cumsum(weights[::-1]), aside, side="right"))
     weight = int(weights[n:].sum())
-    total = int(lengths[:n].sum())
-    if total > MANY:
-        at = np.cumsum(lengths[:n]) - lengths[:n]
-        own = flat[np.repeat(starts[:n] - at, lengths[:n]) + np.arange(total)]
-        low = int(own.min())
-        count = np.bincount(own - low, np.repeat(weights[:n], lengths[:n])).astype(np.int64)
-        found = np.nonzero(count >= need - weight)[0]
-        count, found = count[found], found + low
-    else:
-        merged = merge_skip([(flat[a:e].tolist(), w) for a, e, w in zip(starts[:n].tolist(), ends[:n].tolist(), weights[:n].tolist(), strict=True)], need - weight)
-        found = np.array(sorted(merged), np.int64)
-        count = np.array([merged[i] for i in sorted(merged)], np.int64)
-    for k in range(n, len(lengths)):
+    merged = merge_skip(index, index.run[here[:n]].tolist(), index.runs[which[:n] + 1].tolist(), low, weights[:n].tolist(), need - weight)
+    if not merged:
+        return none, none
+    a, e, w = np.array(merged, np.int64).T
+    count = np.repeat(w, e - a)
+    found = np.arange(len(count)) - np.repeat(np.cumsum(e - a) - (e - a), e - a) + np.repeat(a, e - a)
+    for k in range(n, len(which)):
         if not len(found):
             break
-        x = flat[starts[k] : ends[k]]
+        x = index.flat[here[k] : ends[k]]
         place = np.minimum(np.searchsorted(x, found), len(x) - 1)
         count = count + weights[k] * (x[place] == found)
         weight -= int(weights[k])
         alive = count + weight >= need
-        found, count = found[alive], count[alive]
+        if not alive.all():
+            found, count = found[alive], count[alive]
     return found, count
 
 
-def join_block(sizes: np.ndarray, sets: list[np.ndarray], threshold: float) -> list[tuple[int, int, int]]:
-    """Pairs of near records of a block (first below second in the given order, which must be by size) with their overlap."""
+def join_block(sizes: np.ndarray, sets: list[np.ndarray], threshold: float, chunk: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each record of a block (in the order of size) the near ones that come after it, with their overlap.  With chunk (0 or 1 for each record) only pairs across the two chunks."""
     grams_, rec = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     order = np.lexsort((rec, grams_))
     grams_, rec = grams_[order], rec[order]
@@ -269,23 +324,20 @@ def join_block(sizes: np.ndarray, sets: list[np.ndarray], threshold: float) -> l
             inverted.append(rec[a:e]), heavy.append(0)
         heavy[k] += 1
     if not inverted:
-        return []
-    flat, weights = np.concatenate(inverted), np.array(heavy)
-    bounds = np.concatenate([[0], np.cumsum([len(x) for x in inverted])])
-    which = np.repeat(np.arange(len(inverted)), np.diff(bounds))
+        return
+    lists_ = Lists(inverted, heavy)
+    which = np.repeat(np.arange(len(inverted)), np.diff(lists_.bounds))
     # Where each record stands in its lists: what comes after it is what it must look at.
-    place = np.argsort(flat, kind="stable")
-    of = np.searchsorted(flat[place], np.arange(len(sets) + 1))
-    found = []
+    place = np.argsort(lists_.flat, kind="stable")
+    of = np.searchsorted(lists_.flat[place], np.arange(len(sets) + 1))
     for i, size in enumerate(sizes.tolist()):
         here = place[of[i] : of[i + 1]]
-        lists_ = which[here]
-        starts, ends = here + 1, bounds[lists_ + 1]
-        some = ends > starts
-        near, overlap = divide_skip(flat, starts[some], ends[some], weights[lists_[some]], least_overlap(size, size, threshold))
-        ok = overlap * (1 + threshold) >= threshold * (size + sizes[near]) - SLACK if len(near) else near
-        found += [(i, j, o) for j, o, good in zip(near.tolist(), overlap.tolist(), np.asarray(ok).tolist(), strict=True) if good]
-    return found
+        near, overlap = divide_skip(lists_, which[here], here + 1, i + 1, least_overlap(size, size, threshold))
+        ok = overlap * (1 + threshold) >= threshold * (size + sizes[near]) - SLACK
+        if chunk is not None:
+            ok &= chunk[near] != chunk[i]
+        if ok.any():
+            yield i, near[ok], overlap[ok]
 
 
 def _blocks(records: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
@@ -294,63 +346,101 @@ def _blocks(records: DataFrame, labels: DataFrame, threshold: float) -> DataFram
     return df.withColumn("block", F.explode(F.array(F.col("band"), F.col("band") - 1))).select("label", "block", "band", "sig", "size", "grams")
 
 
-def near_records(records: DataFrame, threshold: float, group: int = 1000) -> DataFrame:
-    """sig_a, sig_b, jaccard."""
+def near_records(records: DataFrame, weights: DataFrame, threshold: float, group: int = 1000, most: int | None = None) -> DataFrame:
+    """sig, links (weight of the records near it, 0 in rows that only have an edge), to (the least record that it is linked with in a task, or itself); several rows for a record.  weights: sig, m."""
+    most = most or BLOCK
     p = records.select("sig", F.explode("prefix").alias("gram"))
     least = p.groupBy("gram").agg(F.min("sig").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", "hub")
     edges = p.join(least, "gram").filter("sig <> hub").select(F.col("sig").alias("a"), F.col("hub").alias("b")).distinct()
     labels = components(edges)
     groups = max(1, -(-labels.count() // group))
-    df = _blocks(records, labels, threshold).withColumn("g", F.pmod(F.xxhash64("label", "block"), F.lit(groups)))
+    df = _blocks(records, labels, threshold).join(weights, "sig")
+    # Blocks that are too large for a task, with their number of chunks; their number is at most that of all grams by ``most``.
+    large = df.groupBy("label", "block").agg(F.sum(F.length("grams") / 8).alias("n"))
+    chunks = lambda size: F.ceil(F.col("n") / size)
+    large = large.select("label", "block", F.least(chunks(most), F.greatest(F.lit(MANY), chunks(GROW * most))).cast("int").alias("k")).filter("k > 1")
+    df = df.join(F.broadcast(large) if large.count() <= SIDE_ROWS else large, ["label", "block"], "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    own = F.pmod(F.xxhash64("sig"), F.col("k")).cast("int")
+    # A record of chunk c takes part in the tasks (c, x) and (x, c) of its block.
+    df = df.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+    df = df.withColumn("g", F.pmod(F.xxhash64("label", "block", "lo", "hi"), F.when(F.col("k") > 1, F.lit(1 << 40)).otherwise(F.lit(groups))))
+    kinds = pa.schema([("sig", pa.binary()), ("links", pa.int64()), ("to", pa.binary())])
+    key = ["label", "block", "lo", "hi"]
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("label", "ascending"), ("block", "ascending"), ("size", "ascending"), ("sig", "ascending")]).combine_chunks()
-        label, block, band, sig = (t.column(c).to_pylist() for c in ("label", "block", "band", "sig"))
-        size = t.column("size").to_numpy()
-        blobs = t.column("grams").to_pylist()
+        t = t.sort_by([(c, "ascending") for c in (*key, "size", "sig")]).combine_chunks()
+        task = list(zip(*(t.column(c).to_pylist() for c in key), strict=True))
+        band, sig = (t.column(c).to_pylist() for c in ("band", "sig"))
+        size, m, chunk = (t.column(c).to_numpy() for c in ("size", "m", "own"))
+        blobs = t.column("grams").combine_chunks()
         out, at = [], 0
         for k in range(1, t.num_rows + 1):
-            if k < t.num_rows and label[k] == label[at] and block[k] == block[at]:
+            if k < t.num_rows and task[k] == task[at]:
                 continue
             here = [i for i in range(at, k) if i == at or sig[i] != sig[i - 1]]  # the same set from several chunks is one record
             if len(here) > 1:
-                for i, j, o in join_block(size[here], [np.frombuffer(blobs[i], np.uint64) for i in here], threshold):
-                    i, j = here[i], here[j]
-                    if min(band[i], band[j]) == block[i]:
-                        out.append({"sig_a": sig[i], "sig_b": sig[j], "jaccard": float(o / (size[i] + size[j] - o))})
+                _, block, lo, hi = task[at]
+                links, ends = np.zeros(len(here), np.int64), []
+                weight, bands = m[here], np.array([band[i] for i in here])
+                sets = [np.frombuffer(blobs[i].as_buffer(), np.uint64) for i in here]
+                for i, near, _ in join_block(size[here], sets, threshold, None if lo == hi else chunk[here]):
+                    near = near[np.minimum(bands[near], bands[i]) == block]
+                    links[i] += weight[near].sum()
+                    links[near] += weight[i]
+                    ends.append((np.full(len(near), i), near))
+                    if sum(len(x) for x, _ in ends[-64:]) > 1_000_000:  # edges of a forest do for all that came so far
+                        root = roots(len(here), *map(np.concatenate, zip(*ends, strict=True)))
+                        ends = [(np.arange(len(here)), root)]
+                if ends:
+                    root = roots(len(here), *map(np.concatenate, zip(*ends, strict=True))).tolist()
+                    out += [(sig[here[i]], n, sig[here[root[i]]]) for i, n in enumerate(links.tolist()) if n]
             at = k
-        return pa.Table.from_pylist(out, schema=pa.schema([("sig_a", pa.binary()), ("sig_b", pa.binary()), ("jaccard", pa.float64())]))
+        release()
+        return pa.table([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds.types, strict=True)] if out else [pa.array([], x) for x in kinds.types], schema=kinds)
 
-    return df.groupBy("g").applyInArrow(run, "sig_a binary, sig_b binary, jaccard double")
+    return df.groupBy("g").applyInArrow(run, "sig binary, links bigint, to binary")
 
 
-def _found(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, th, sig) of every row with grams; near pairs of signatures."""
+def _found(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, th, sig) of every row with grams; sig, m (documents), least (doc_id in a struct) of every set that several documents have or that is near another; near_records' rows."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = bits_for(chars / 6, RANGE)
     base = scratch(shared(postings(docs, bits)), "grams")
     records = scratch(survivors(base.filter("bucket <> -1").select("chunk", *(f.name for f in _BLOB)), threshold), "records")
-    return base.filter("bucket = -1").select("doc_id", "th", "sig"), near_records(records, threshold)
+    ids = base.filter("bucket = -1").select("doc_id", "th", "sig")
+    # A document with a partner has a record among the survivors; so have copies, whose grams all are shared.
+    weights = scratch(ids.select("doc_id", "sig").distinct().groupBy("sig").agg(F.count(F.lit(1)).alias("m")), "weights")
+    near = scratch(near_records(records, weights, threshold), "near")
+    return ids, weights, near
+
+
+def _classes(near: DataFrame) -> DataFrame:
+    """node, label of every record that another is near."""
+    return components(near.select(F.col("sig").alias("a"), F.col("to").alias("b")))
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_a, doc_b, jaccard: near records by their lowest doc_id, and every copy against its record."""
-    ids, pairs = _found(docs.select("doc_id", "text"), threshold)
-    names = ids.groupBy("sig").agg(F.min(F.struct("doc_id")).alias("name"))
-    one, two = (names.select(F.col("sig").alias(f"sig_{k}"), F.col("name").alias(f"name_{k}")) for k in "ab")
-    near = pairs.join(one, "sig_a").join(two, "sig_b")
-    low, high = F.least("name_a", "name_b"), F.greatest("name_a", "name_b")
-    near = near.select(low["doc_id"].alias("doc_a"), high["doc_id"].alias("doc_b"), F.round("jaccard", 6).alias("jaccard"))
-    copies = ids.join(names, "sig").filter(F.struct("doc_id") != F.col("name")).select("sig", F.col("name")["doc_id"].alias("doc_a"), F.col("doc_id").alias("doc_b")).distinct()
-    return near.union(copies.select("doc_a", "doc_b", F.lit(1.0).alias("jaccard")))
+    """doc_id, class_id, n_links (other documents that are near it) for every row."""
+    docs = docs.select("doc_id", "text")
+    ids, weights, near = _found(docs, threshold)
+    linked = _classes(near)
+    links = near.groupBy("sig").agg(F.sum("links").alias("links"))
+    every = weights.join(links, "sig", "left").join(linked, F.col("sig") == F.col("node"), "left").filter("m > 1 or links is not null")
+    every = every.select("sig", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("label", "sig").alias("team"))
+    # Only records with links; the documents of all others stand for themselves.
+    mine = scratch(ids.join(every, "sig").select("doc_id", "th", "n", "team"), "linked")
+    name = mine.groupBy("team").agg(F.min(F.struct("doc_id")).alias("name"))
+    found = scratch(mine.join(name, "team").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("name.doc_id").alias("_class"), "n").distinct(), "classes")
+    own = docs.select("doc_id", F.xxhash64("text").alias("th"))
+    df = own.join(side(found), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
+    return df.select("doc_id", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("_class")).alias("class_id"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One document of each group: those linked by near pairs, directly or through others.  The one of lowest doc_id (null first, then by the hash of the text) stays, once even where its row is repeated; documents without grams all stay."""
-    ids, pairs = _found(docs.select("doc_id", "text"), threshold)
-    linked = components(pairs.select(F.col("sig_a").alias("a"), F.col("sig_b").alias("b")))
+    """One document of each class.  The one of lowest doc_id (null first, then by the hash of the text) stays, once even where its row is repeated; documents without grams all stay."""
+    ids, weights, near = _found(docs.select("doc_id", "text"), threshold)
     key = F.struct("doc_id", "th")
-    names = ids.groupBy("sig").agg(F.min(key).alias("name"), F.count(F.lit(1)).alias("n")).join(linked, F.col("sig") == F.col("node"), "left").filter("n > 1 or label is not null").select("sig", "name", F.coalesce("label", "sig").alias("team"))
+    names = ids.groupBy("sig").agg(F.min(key).alias("name"), F.count(F.lit(1)).alias("n")).join(_classes(near), F.col("sig") == F.col("node"), "left").filter("n > 1 or label is not null").select("sig", "name", F.coalesce("label", "sig").alias("team"))
     first = names.groupBy("team").agg(F.min("name").alias("first"))
     rows = ids.join(names.join(first, "team").select("sig", "first"), "sig").groupBy("doc_id", "th", "first").agg(F.count(F.lit(1)).alias("n"))
     # Only what isn't kept as it is: rows that go, and rows of which one of several stays.
@@ -363,10 +453,15 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 SQL = f"""
-with w as (select doc_id, list_filter(string_split_regex(lower(text), '{SPACE}'), lambda x: x <> '') as w from documents where text is not null),
-s as (select doc_id, list_sort(list_distinct(case when len(w) < {GRAM} then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - {GRAM} + 2), lambda i: array_to_string(w[i:i + {GRAM - 1}], ' ')) end)) as s from w where len(w) > 0),
-r as (select s, min(doc_id) as doc_id, len(s) as n from s group by s),
-g as (select doc_id, n, unnest(s) as g from r),
-o as (select a.doc_id as doc_a, b.doc_id as doc_b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as o from g a join g b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id)
-select doc_a, doc_b, round(o * 1.0e0 / (na + nb - o), 6) as jaccard from o where o * {1 + THRESHOLD}::double + 1e-9 >= {THRESHOLD}::double * (na + nb)
-union all select distinct r.doc_id, s.doc_id, 1.0::double from s join r using (s) where s.doc_id <> r.doc_id"""
+with recursive w as (select doc_id, list_filter(string_split_regex(lower(text), '{SPACE}'), lambda x: x <> '') as w from documents where text is not null),
+s as materialized (select doc_id, list_sort(list_distinct(case when len(w) < {GRAM} then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - {GRAM} + 2), lambda i: array_to_string(w[i:i + {GRAM - 1}], ' ')) end)) as s from w where len(w) > 0),
+r as materialized (select s, min(doc_id) as doc_id, len(s) as n, count(distinct doc_id) as m from s group by s),
+g as materialized (select doc_id, n, unnest(s) as g from r),
+o as (select a.doc_id as a, b.doc_id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as o from g a join g b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+p as materialized (select a, b from o where o * {1 + THRESHOLD}::double + 1e-9 >= {THRESHOLD}::double * (na + nb)),
+e as materialized (select a, b from p union all select b, a from p),
+reach as (select doc_id as a, doc_id as b from r union select reach.a, e.b from reach join e on reach.b = e.a),
+c as (select a, min(b) as class_id from reach group by a),
+l as (select e.a, sum(r.m) as n from e join r on r.doc_id = e.b group by e.a),
+f as (select s.doc_id, c.class_id, r.m - 1 + coalesce(l.n, 0) as n from s join r using (s) join c on c.a = r.doc_id left join l on l.a = r.doc_id)
+select documents.doc_id, coalesce(f.class_id, documents.doc_id) as class_id, coalesce(f.n, 0)::bigint as n_links from documents left join f using (doc_id)"""
