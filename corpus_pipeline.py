@@ -7,36 +7,34 @@ the next one's input.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from docweave.llm import jaccard, lines, packing, rules, secrets
-from docweave.llm._util import read, shared_dir
+from docweave.llm._util import drop_scratch, read, scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep.  Null and empty texts go; repeated rows get one verdict; a null language is judged by the nearest reference; an empty table stays empty."""
     return rules.keep_good(docs)
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without later occurrences of repeated windows of lines."""
+    """All documents, without later occurrences of repeated windows of lines.  Null text stays null, a text of which all lines go becomes empty; the first in the order of doc_id (null first), text hash and position stays."""
     return lines.dedup_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates, that of lowest doc_id (null first, then by the hash of the text), once even where its row is repeated.  Texts without words all stay."""
     return jaccard.keep_one(docs)
 
 
 def secret_values(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets masked."""
+    """All documents, with secrets masked.  Null text stays null; repeated rows are treated alike."""
     return secrets.redact_secrets(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """bin_id, doc_id, piece, start, n_words."""
+    """bin_id, doc_id, piece, start, n_words.  Texts without words have a null bin; ties of length go by doc_id (null first); an empty table gives no rows."""
     return packing.best_fit(docs)
 
 
@@ -53,10 +51,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    df = read(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES[:-1]):
-        path = f"{base}/{k}"
-        stage(spark, df, sf_dir).write.parquet(path)
-        df = spark.read.parquet(path)
+    df, last = read(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        df = scratch(stage(spark, df, sf_dir), f"pipeline-{name}")
+        if last is not None:
+            drop_scratch(last)
+        last = df
     return STAGES[-1][1](spark, df, sf_dir)

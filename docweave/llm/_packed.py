@@ -54,6 +54,16 @@ def unpack(b: bytes) -> np.ndarray:
     return np.cumsum(unplanes(b, np.uint64), dtype=np.uint64)
 
 
+def squeezed(b: bytes) -> bytes:
+    """Entropy-coded, with its length in front."""
+    return len(b).to_bytes(6, "little") + (pa.compress(b, codec="zstd", asbytes=True) if b else b"")
+
+
+def unsqueezed(b: bytes) -> bytes:
+    size = int.from_bytes(b[:6], "little")
+    return pa.decompress(b[6:], size, codec="zstd", asbytes=True) if size else b""
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)

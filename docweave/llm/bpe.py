@@ -23,6 +23,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -44,12 +45,16 @@ def pattern(folder: str = FOLDER) -> str:
     return module.PATTERN
 
 
+def files(folder: str = FOLDER, name: str = VOCABULARY) -> tuple[bytes, str]:
+    """A vocabulary's file (some MB at most) and its pattern, as they go to every task; only the driver reads the folder."""
+    return Path(folder, name).read_bytes(), pattern(folder)
+
+
 class Vocabulary:
     """Tokens by id, and the rank (the id of the whole) of every pair of tokens whose join is a token."""
 
-    def __init__(self, folder: str = FOLDER, name: str = VOCABULARY):
-        with open(Path(folder, name), "rb") as f:
-            ids = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    def __init__(self, data: bytes | None = None):
+        ids = {base64.b64decode(a): int(b) for a, b in map(bytes.split, (data or files()[0]).splitlines())}
         self.bytes: list[bytes | None] = [None] * (max(ids.values()) + 1)
         for token, i in ids.items():
             self.bytes[i] = token
@@ -220,11 +225,10 @@ def encode_pieces(pieces: list[bytes], v: Vocabulary) -> list[np.ndarray]:
 
 
 class Encoder:
-    def __init__(self, folder: str = FOLDER, name: str = VOCABULARY):
-        import regex
-
-        self.v = Vocabulary(folder, name)
-        self.cut = regex.compile(pattern(folder))
+    def __init__(self, given: tuple[bytes, str] | None = None):
+        data, cut = given or files()
+        self.v = Vocabulary(data)
+        self.cut = regex.compile(cut)
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
@@ -252,8 +256,10 @@ def encode(docs: DataFrame, folder: str = FOLDER, name: str = VOCABULARY) -> Dat
     """doc_id, n_tokens, ids, round_trip (whether decoding gives the text) for every row."""
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())])
 
+    sent = docs.sparkSession.sparkContext.broadcast(files(folder, name))
+
     def run(batches):
-        encoder = Encoder(folder, name)
+        encoder = Encoder(sent.value)
         for b in slices(batches):
             texts = b.column(1).to_pylist()
             ids = encoder.encode(texts)
@@ -273,8 +279,10 @@ def decode(encoded: DataFrame, folder: str = FOLDER, name: str = VOCABULARY) ->
     """doc_id, text for every row of (doc_id, ids)."""
     schema = T.StructType([T.StructField("doc_id", encoded.schema["doc_id"].dataType), T.StructField("text", T.StringType())])
 
+    sent = encoded.sparkSession.sparkContext.broadcast(files(folder, name))
+
     def run(batches):
-        encoder = Encoder(folder, name)
+        encoder = Encoder(sent.value)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None or None in x else encoder.decode(x) for x in b.column(1).to_pylist()], pa.string())], names=schema.names)
 

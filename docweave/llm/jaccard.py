@@ -45,7 +45,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ._packed import SPACE, bits_for, grams, hashed_words, lists, pack, parts, planes, runs, unpack, unplanes
-from ._util import SIDE_ROWS, release, roots, scratch, side
+from ._util import release, roots, scratch, side
 from .components import components
 
 GRAM = 3
@@ -358,8 +358,8 @@ def near_records(records: DataFrame, weights: DataFrame, threshold: float, group
     # Blocks that are too large for a task, with their number of chunks; their number is at most that of all grams by ``most``.
     large = df.groupBy("label", "block").agg(F.sum(F.length("grams") / 8).alias("n"))
     chunks = lambda size: F.ceil(F.col("n") / size)
-    large = large.select("label", "block", F.least(chunks(most), F.greatest(F.lit(MANY), chunks(GROW * most))).cast("int").alias("k")).filter("k > 1")
-    df = df.join(F.broadcast(large) if large.count() <= SIDE_ROWS else large, ["label", "block"], "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    large = scratch(large.select("label", "block", F.least(chunks(most), F.greatest(F.lit(MANY), chunks(GROW * most))).cast("int").alias("k")).filter("k > 1"), "large")
+    df = df.join(side(large), ["label", "block"], "left").withColumn("k", F.coalesce("k", F.lit(1)))
     own = F.pmod(F.xxhash64("sig"), F.col("k")).cast("int")
     # A record of chunk c takes part in the tasks (c, x) and (x, c) of its block.
     df = df.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})

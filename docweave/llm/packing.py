@@ -30,6 +30,7 @@ SMALL = 0.125
 GROUPS = 24
 SHARD_DOCS = 20_000
 EPS = 1e-9
+TASKS = 20_000
 
 
 def _knapsack(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -61,8 +62,13 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list
     """An optimal basis of the configuration LP: minimise bins so that every size gets its demand (revised simplex, columns priced by knapsack)."""
     k = len(sizes)
     basis = np.diag(capacity // sizes).astype(float)
-    for _ in range(50 * k):
-        x = np.linalg.solve(basis, demand.astype(float))
+    # With demands that are a little off no step stands still, so no basis comes twice and the loop ends by itself.
+    target, last = demand + 1e-6 * np.arange(1, k + 1), np.inf
+    while True:
+        x = np.linalg.solve(basis, target)
+        if x.sum() >= last:
+            break  # as good as numbers of this precision get
+        last = x.sum()
         duals = np.linalg.solve(basis.T, np.ones(k))
         worth, column = _knapsack(sizes, duals, capacity)
         if worth <= 1 + 1e-7:
@@ -139,4 +145,5 @@ def best_fit(docs: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_
         bins[held] = pack(length[held], capacity) + (shard << 32)
         return pa.table({"bin_id": pa.array(bins, pa.int64(), mask=bins < 0), "doc_id": table.column("doc_id").take(pa.array(doc)), "piece": pa.array(piece, pa.int64()), "start": pa.array(piece * capacity, pa.int64()), "n_words": pa.array(length, pa.int64())})
 
-    return src.groupBy("shard").applyInArrow(one, schema)
+    # The number of partitions is given, else small rows would end up in a few tasks.
+    return src.repartition(min(shards, TASKS), "shard").groupBy("shard").applyInArrow(one, schema)

@@ -12,7 +12,7 @@ being a parameter; scoring covers every document and its whole text.
 
 Defined results: null, empty and blank texts pool to zeros and get the network's answer to that; without
 a labelled document there is no model, both probabilities are null and all is kept; labels that are
-null, or without a document, don't count; repeated rows get the same answer each; an empty table
+null, or without a document, don't count; of labels that clash the worse one does (low quality, toxic); repeated rows get the same answer each; an empty table
 gives no rows; other columns are not read.
 """
 
@@ -227,7 +227,7 @@ def predict(flat: np.ndarray, bounds: np.ndarray, model: dict) -> np.ndarray:
 def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | None:
     """The model from at most so many labelled documents, and the contexts of all documents; only bucket numbers and sums reach the driver."""
     y = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_q"), F.coalesce(F.col("toxic").cast("int"), F.lit(0)).alias("_t")).filter("_id is not null and _q is not null")
-    y = y.dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    y = y.groupBy("_id").agg(F.min("_q").alias("_q"), F.max("_t").alias("_t")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     t = docs.join(F.broadcast(y), docs["doc_id"] == y["_id"]).select("_id", "_q", "_t", buckets(F.col("text")).alias("w")).toArrow()
     if not t.num_rows:
         return None
