@@ -16,17 +16,26 @@ DONE = (
     "compressed boolean, orig_bytes bigint, final_bytes bigint, format_note string, fallback_to_original boolean"
 )
 
+BATCH_BYTES = 4 << 20
+
 
 def processed_images(files: DataFrame, max_width: int = images.MAX_WIDTH) -> DataFrame:
-    """files: page_id, source_id, mime, data.  One image at a time in memory; null data gives an empty fallback."""
+    """files: page_id, source_id, mime, data.  One image at a time in memory, and results of up to BATCH_BYTES; null data gives an empty fallback."""
     kinds = to_arrow_schema(StructType.fromDDL(DONE))
 
     def run(batches):
         for b in batches:
+            ready, held = [], 0
             for i in range(b.num_rows):
                 r = b.slice(i, 1).to_pylist()[0]
                 out = images.processed(r["data"] or b"", r["mime"] or "", max_width)
-                yield pa.RecordBatch.from_pylist([{**{k: r[k] for k in ("page_id", "source_id")}, **out}], schema=kinds)
+                ready.append({**{k: r[k] for k in ("page_id", "source_id")}, **out})
+                held += len(out["data"] or b"")
+                if held >= BATCH_BYTES or len(ready) == 1_000:
+                    yield pa.RecordBatch.from_pylist(ready, schema=kinds)
+                    ready, held = [], 0
+            if ready:
+                yield pa.RecordBatch.from_pylist(ready, schema=kinds)
 
     return files.select("page_id", "source_id", "mime", "data").mapInArrow(run, DONE)
 

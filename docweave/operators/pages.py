@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import time
 
 import pandas as pd
@@ -32,6 +33,8 @@ def _rows(df: DataFrame, kernel, schema: str) -> DataFrame:
     kinds = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
+        # Trees are cycles: the collector takes many pages at a time.
+        gc.set_threshold(50_000, 10, 10)
         for b in batches:
             # Pages are large: a few at a time.
             for lo in range(0, b.num_rows, 200):
@@ -81,7 +84,7 @@ def preflights(pages: DataFrame) -> DataFrame:
         except Blocked as bad:
             yield {"page_id": r["page_id"], "error": str(bad)}
             return
-        yield {"page_id": r["page_id"], **{k: v for k, v in p.items() if k != "root"}, "compact_html": p["root"].html()}
+        yield {"page_id": r["page_id"], **{k: v for k, v in p.items() if k not in ("root", "nodes")}, "compact_html": p["root"].html()}
 
     return _rows(pages.select("page_id", "html"), kernel, PREFLIGHT)
 
@@ -157,7 +160,7 @@ def _resolved(formulas: list[dict], known: dict, given: dict) -> tuple[dict, dic
 
 
 def _rendered(root: Node, p: dict, latex: dict[str, str], package: str) -> tuple[dict, Renderer]:
-    m = Renderer(root, p["formulas"], p["assets"], latex, package)
+    m = Renderer(root, p["formulas"], p["assets"], latex, package, p["nodes"])
     text = m.page(root)
     return {"markdown": text, "emitted": m.counts | {"formula_total": m.counts["formula_block"] + m.counts["formula_inline"]}, "unresolved": m.unresolved}, m
 
@@ -235,8 +238,9 @@ def staged_pages(pages: DataFrame, resolved: DataFrame | None = None, mode: str
     if cache is not None:
         own = cache.filter(F.col("parser_version") == katex.PARSER_VERSION) if "parser_version" in cache.columns else cache
         own = own.groupBy("dom_hash").agg(F.first("latex").alias("latex"), F.first("success").alias("success"))
-        if own.limit(KNOWN_ROWS + 1).count() <= KNOWN_ROWS:
-            known = {x["dom_hash"]: (x["latex"], x["success"]) for x in own.collect()}
+        rows = own.limit(KNOWN_ROWS + 1).collect()  # once: what makes the cache may be a pass over pages
+        if len(rows) <= KNOWN_ROWS:
+            known = {x["dom_hash"]: (x["latex"], x["success"]) for x in rows}
         else:  # the pages' hashes must be known first: one more pass
             hits = formula_rows(preflights(pages)).select("page_id", "dom_hash").distinct().join(own, "dom_hash").groupBy(F.col("page_id").alias("_p")).agg(F.collect_list(F.struct("dom_hash", "latex", "success")).alias("cached"))
             src = src.join(hits, F.col("page_id") == F.col("_p"), "left").drop("_p")
@@ -256,16 +260,17 @@ def pending_jobs(staged: DataFrame) -> DataFrame:
     return df.select(F.col("b.id").alias("source_id"), "dom_hash", F.col("b.latex").alias("latex"), "pages", "formulas")
 
 
-def convert_pages(pages: DataFrame, resolved: DataFrame | None = None, mode: str = "auto", cache: DataFrame | None = None, report: DataFrame | None = None, versions: dict[str, str] | None = None) -> DataFrame:
+def convert_pages(pages: DataFrame, resolved: DataFrame | None = None, mode: str = "auto", cache: DataFrame | None = None, report: DataFrame | None = None, versions: dict[str, str] | None = None, staged: DataFrame | None = None) -> DataFrame:
     """page_id, package, status (converted, blocked, strict_required), reasons, markdown and what was counted.
 
     Formulas that had to be rebuilt stay placeholders, and block their page, until a validation report confirms the batch: all
     of its jobs or none.  Without a report the pages are parsed once; with one the first pass is kept while it is checked.
+    staged: that pass, where it was made (and is kept) for the report.
     """
-    df = staged_pages(pages, resolved, mode, cache)
+    df = staged_pages(pages, resolved, mode, cache) if staged is None else staged
     unlocked, message = F.lit(False), F.lit(None).cast("string")
     if report is not None:
-        df = df.persist()
+        df = df if df.is_cached else df.persist()
         said = ledgers.report_unlocks(pending_jobs(df).select("source_id", "dom_hash", "latex"), report, versions or {}).agg(F.bool_and("unlocked").alias("_ok"), F.first("message").alias("_said"))
         df = df.crossJoin(F.broadcast(said))  # one row
         unlocked, message = F.coalesce("_ok", F.lit(False)), F.col("_said")
@@ -472,9 +477,9 @@ def stored_images(images: DataFrame, get=None) -> DataFrame:
     return _rows(one.repartition("url"), kernel, "url string, path string, data binary")
 
 
-def localized_pages(pages: DataFrame, stored: DataFrame, base: str, selector: str | None = None) -> DataFrame:
-    """page_id, path, markdown or error: images that are stored get a link to their file, others a placeholder with their text."""
-    have = page_images(pages, base).join(stored.filter("data is not null").select("url").distinct(), "url").groupBy(F.col("page_id").alias("_p")).agg(F.collect_set("url").alias("have"))
+def localized_pages(pages: DataFrame, stored: DataFrame, base: str, selector: str | None = None, images: DataFrame | None = None) -> DataFrame:
+    """page_id, path, markdown or error: images that are stored get a link to their file, others a placeholder with their text.  images: the pages' images, where they are kept."""
+    have = (page_images(pages, base) if images is None else images).join(stored.filter("data is not null").select("url").distinct(), "url").groupBy(F.col("page_id").alias("_p")).agg(F.collect_set("url").alias("have"))
     src = pages.select("page_id", "url", "html").join(have, F.col("page_id") == F.col("_p"), "left").drop("_p")
 
     def kernel(r: dict):

@@ -20,6 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a task of the kernels, and the most tasks; beyond that a task gets more rows.
+TASK_ROWS, MOST_TASKS = 2_000, 2_000
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The same rows in even tasks (by keys, where some are given).  Short rows come as one row group, hence as one task, however long a kernel takes with each; take this before they grow to pages."""
+    tasks = min(MOST_TASKS, -(-df.count() // TASK_ROWS))  # of a Parquet table, its footers say it
+    return df.repartition(tasks, *keys) if tasks > 1 else df
+
+
 def html_files(spark: SparkSession, path: str) -> DataFrame:
     """path, sha256, html (null where it isn't UTF-8), error."""
     df = spark.read.format("binaryFile").load(path)
