@@ -84,7 +84,7 @@ def preflights(pages: DataFrame) -> DataFrame:
         except Blocked as bad:
             yield {"page_id": r["page_id"], "error": str(bad)}
             return
-        yield {"page_id": r["page_id"], **{k: v for k, v in p.items() if k not in ("root", "nodes")}, "compact_html": p["root"].html()}
+        yield {"page_id": r["page_id"], **{k: v for k, v in p.items() if k not in ("root", "nodes")}}
 
     return _rows(pages.select("page_id", "html"), kernel, PREFLIGHT)
 
@@ -132,6 +132,21 @@ STAGED = (
 KNOWN_ROWS = 100_000
 
 
+_read: dict[str, tuple[str | None, list[str]]] = {}
+
+
+def _rebuilt(html: str) -> tuple[str | None, list[str]]:
+    """LaTeX of a KaTeX element, or None with what wasn't understood; of the same markup once."""
+    known = _read.get(html)
+    if known is None:
+        latex, unknown = katex.latex_of(next(iter(parse(html).elements())))
+        known = (None, ["identifier-subscript"]) if latex and katex.bare_identifier(latex) else (latex, unknown)
+        if len(_read) >= 2_000:
+            _read.clear()
+        _read[html] = known
+    return known
+
+
 def _resolved(formulas: list[dict], known: dict, given: dict) -> tuple[dict, dict]:
     """By hash: LaTeX, success, what wasn't understood, and where it came from.  known: the cache's entries; given: LaTeX by source_id from elsewhere."""
     found, counts = {}, {"cache_hits": 0, "parsed_unique": 0}
@@ -151,9 +166,7 @@ def _resolved(formulas: list[dict], known: dict, given: dict) -> tuple[dict, dic
         elif f["source_kind"] != "katex-html-only":
             found[h] = (None, False, [f"unsupported-source:{f['source_kind']}"], "none")
         else:
-            latex, unknown = katex.latex_of(next(iter(parse(f["html"]).elements())))
-            if latex and katex.bare_identifier(latex):
-                latex, unknown = None, ["identifier-subscript"]
+            latex, unknown = _rebuilt(f["html"])
             found[h] = (latex, latex is not None, unknown, "parsed")
             counts["parsed_unique"] += 1
     return found, counts
@@ -330,10 +343,7 @@ def resolve_formulas(rows: DataFrame, cache: DataFrame | None = None) -> DataFra
         elif r["source_kind"] != "katex-html-only":
             yield {**r, "latex": None, "success": False, "unknown_nodes": [f"unsupported-source:{r['source_kind']}"]}
         else:
-            root = next(iter(parse(r["html"]).elements()))
-            latex, unknown = katex.latex_of(root)
-            if latex and katex.bare_identifier(latex):
-                latex, unknown = None, ["identifier-subscript"]
+            latex, unknown = _rebuilt(r["html"])
             yield {**r, "latex": latex, "success": latex is not None, "unknown_nodes": unknown}
 
     return _rows(one, kernel, "dom_hash string, source_kind string, latex string, success boolean, unknown_nodes array<string>")
