@@ -36,6 +36,8 @@ SEED = 20240229
 #: A word's weight counts from this z-score on.
 SURE = 4.0
 CHUNK = 300_000
+#: Rows of vectors that are summed at once: so many stay in a core's cache.
+ROWS = 1024
 #: Tokens whose contexts are summed at once, and buckets that a partial sum's row holds.
 SUMMED, SPAN = 1_000_000, 256
 
@@ -139,10 +141,14 @@ def pooled(flat: np.ndarray, bounds: np.ndarray, vectors: np.ndarray, weights: l
 
     def total(ids: np.ndarray, at: np.ndarray, w: np.ndarray | None) -> np.ndarray:
         sums = np.zeros((n, DIM), np.float32)
-        full = np.nonzero(np.diff(at))[0]
-        if len(full):
-            x = vectors[ids] if w is None else vectors[ids] * w[ids][:, None]
-            sums[full] = np.add.reduceat(x, at[full], axis=0)
+        ends = at.tolist()
+        for i in np.nonzero(np.diff(at))[0].tolist():
+            for lo in range(ends[i], ends[i + 1], ROWS):
+                own = ids[lo : min(lo + ROWS, ends[i + 1])]
+                x = vectors.take(own, 0)
+                if w is not None:
+                    x *= w.take(own)[:, None]
+                sums[i] += np.add.reduce(x)
         return sums
 
     for lo, hi in runs(bounds, CHUNK):

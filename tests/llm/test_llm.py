@@ -4,6 +4,7 @@ import collections
 import itertools
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -52,6 +53,23 @@ def test_quality_odd(spark):
     assert quality.quality_classifier(odd(spark, True), labels).count() == 0
 
 
+def test_quality_sums_of_long_documents():
+    """Means and weighted sums of the sure words are right, and vectors are gathered by bounded blocks that stay in a core's cache, not for all documents of a batch at once."""
+    r = np.random.default_rng(1)
+    vectors, weight = r.normal(0.1, 0.01, (quality.BUCKETS, quality.DIM)).astype(np.float32), np.where(r.random(quality.BUCKETS) < 0.1, 0.5, 0).astype(np.float32)
+    flat, bounds = r.integers(0, quality.BUCKETS, 1_500_000), np.array([0, 0, 3, 1_030, *range(1_500, 1_500_001, 500)])
+    tracemalloc.start()
+    got = quality.pooled(flat, bounds, vectors, [weight])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40e6
+    for i, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)):
+        x = vectors[flat[lo:hi]].astype(float)
+        assert np.allclose(got[i, : quality.DIM], x.sum(0) / max(hi - lo, 1), atol=1e-5)
+        s = (x * weight[flat[lo:hi]][:, None]).sum(0)
+        assert np.allclose(got[i, quality.DIM :], np.sign(s) * np.log1p(np.abs(s)), atol=1e-4)
+
+
 def test_quality_contexts(spark):
     """Context sums cover every document, labelled or not, and are those of a loop over its words."""
     r = random.Random(7)
