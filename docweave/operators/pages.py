@@ -16,7 +16,7 @@ from ..functions import docsite, katex, markdown
 from ..functions.names import data_uri, image_url, numbered_name, package_name, page_path, safe_path
 from ..functions.preflight import Blocked, candidates, preflight
 from ..functions.render import COUNTED, Refused, Renderer
-from ..functions.tree import Node, parse
+from ..functions.tree import Node, parse, released
 from ..sources.readers import downloaded
 from . import ledgers
 
@@ -84,6 +84,7 @@ def preflights(pages: DataFrame) -> DataFrame:
         except Blocked as bad:
             yield {"page_id": r["page_id"], "error": str(bad)}
             return
+        released(p.pop("every"))
         yield {"page_id": r["page_id"], **{k: v for k, v in p.items() if k not in ("root", "nodes")}}
 
     return _rows(pages.select("page_id", "html"), kernel, PREFLIGHT)
@@ -183,19 +184,28 @@ def _converted(r: dict, known: dict, strict: bool) -> dict:
     began = last = time.perf_counter()
     times = dict.fromkeys(TIMES, 0.0)
 
-    def clock(name: str) -> None:
+    def clock(name: str) -> float:
         nonlocal last
         now = time.perf_counter()
         times[name], last = round(1000 * (now - last), 3), now
+        return now
 
     out = {"page_id": r["page_id"], "package": f"page-{r['page_id']}", "parses": {"full_document": 1, "detached_body": 0, "compact_snapshot": 0}, "timings": times}
     try:
-        p = preflight(r["html"] or "")
+        p = preflight(r["html"] or "", False)
     except Blocked as bad:
         clock("preflight")
         times["total"] = times["preflight"]
         return {**out, "strict": [str(bad)] + ["strict mode explicitly requested"] * strict}
-    clock("preflight")
+    try:
+        return _staged(r, p, out, known, strict, clock, began)
+    finally:
+        released(p["every"])
+
+
+def _staged(r: dict, p: dict, out: dict, known: dict, strict: bool, clock, began: float) -> dict:
+    """What follows from a page's preflight."""
+    times, last = out["timings"], clock("preflight")
     if p["title"]:
         out["package"] = package_name(p["title"])
     out |= {k: p[k] for k in ("title", "counts", "signals", "input_bytes", "compact_bytes")}
@@ -230,12 +240,12 @@ def _converted(r: dict, known: dict, strict: bool) -> dict:
         out["draft"], m = _rendered(p["root"], p, latex, out["package"])
         out["sure"] = _rendered(p["root"], p, latex | unsure, out["package"])[0] if unsure else None
     except (Refused, Blocked, markdown.Fence) as bad:
-        clock("conversion")
+        last = clock("conversion")
         times["total"] = round(1000 * (last - began), 3)
         return {**out, "strict": [str(bad)]}
     clock("conversion")
     out |= {"strict": [], "warnings": m.warnings, "files": [{"name": n, "data": d} for n, d in m.files], "images": [{"source_id": n.rpartition(".")[0], "decision": "keep", "emitted_count": 1, "reason": "", "bytes": len(d)} for n, d in m.files]}
-    clock("package")
+    last = clock("package")
     times["total"] = round(1000 * (last - began), 3)
     return out
 
