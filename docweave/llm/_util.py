@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -43,16 +44,29 @@ def _clean() -> None:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there, and the loss of an executor costs nothing.  Its shuffle files go as soon as it is written."""
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def scratch(df: DataFrame, name: str, rows: int | None = None, size: int | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage ends there, and the loss of an executor costs nothing.  Its shuffle files go as soon as it is written.
+
+    rows, size: how many rows and bytes go to a Python worker at once, where the session would have more.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    own = {CLEANUP: "true"}
+    for key, most in zip(BATCH, (rows, size), strict=True):
+        given = int(re.match("-?[0-9]+", spark.conf.get(key))[0]) if most else 0
+        if most and not 0 < given <= most:
+            own[key] = str(most)
+    before = {key: spark.conf.get(key) if key in BATCH else spark.conf.get(key, "false") for key in own}
+    for key, value in own.items():
+        spark.conf.set(key, value)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

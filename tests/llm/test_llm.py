@@ -8,7 +8,7 @@ import tracemalloc
 
 import numpy as np
 import pytest
-from docweave.llm import bpe, components, jaccard, katz, lines, links, packing, quality, queries, rules, secrets, vectors
+from docweave.llm import _util, bpe, components, jaccard, katz, lines, links, packing, quality, queries, rules, secrets, vectors
 from oracle import compare
 
 SF = "/root/testdata/sf0.001"
@@ -357,6 +357,39 @@ def test_divide_skip():
         assert dict(zip(found.tolist(), n.tolist(), strict=True)) == {i: c for i, c in want.items() if i >= low}
 
 
+def test_block_memory():
+    """A block's lists take a bounded multiple of the room of its grams, though each gram has a list of its own; equal lists are one with a weight."""
+    rng = np.random.default_rng(3)
+    n = 2_000
+    sets = [[] for _ in range(n)]
+    for g in range(100_000):
+        for i in rng.choice(n, 2, replace=False).tolist():
+            sets[i].append(g)
+    sets = [np.array(s, np.uint64) for s in sets]
+    tracemalloc.start()
+    found = list(jaccard.join_block(np.array([len(s) for s in sets]), sets, 0.9))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not found and peak < 20 * sum(s.nbytes for s in sets), peak
+    index = jaccard.inverted([np.array(s, np.uint64) for s in ([1, 2, 3], [1, 2, 3], [2, 3, 4, 5], [4, 5], [9])])
+    own = [index.flat[a:e].tolist() for a, e in itertools.pairwise(index.bounds.tolist())]
+    assert sorted(zip(own, index.weights.tolist(), strict=True)) == [([0, 1], 1), ([0, 1, 2], 2), ([2, 3], 2)]
+    assert jaccard.inverted([np.array([1], np.uint64), np.array([2], np.uint64)]) is None
+
+
+def test_jaccard_batches(spark, monkeypatch):
+    """Few rows at a time between the JVM and the workers give the same rows, and the session's own sizes come back."""
+    rows = crowd()
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    before = [spark.conf.get(k) for k in _util.BATCH]
+    seen = []
+    monkeypatch.setattr(jaccard, "ROWS", 3)
+    monkeypatch.setattr(jaccard, "scratch", lambda d, name, *most: seen.append((name, *most)) or _util.scratch(d, name, *most))
+    got = jaccard.jaccard_join(df)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == near_classes(rows)
+    assert {name for name, *most in seen if most == [3, jaccard.BYTES]} == {"grams", "records", "near"} and [spark.conf.get(k) for k in _util.BATCH] == before
+
+
 def test_jaccard_odd(spark):
     df = odd(spark)
     rows = [tuple(r) for r in df.select("doc_id", "text").collect()]
